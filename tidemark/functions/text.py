@@ -31,10 +31,16 @@ def words(text: Column) -> Column:
 
 
 def shingles(text: Column, width: int = 8) -> Column:
-    """The distinct joined runs of width words; empty for shorter texts."""
-    w = words(text)
-    at = F.sequence(F.lit(1), F.size(w) - width + 1)
-    return F.when(F.size(w) >= width, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, width), " ")))).otherwise(F.array().cast("array<string>"))
+    """The distinct joined runs of width words; empty for shorter texts.
+
+    The words are bound once, as the element of a one-element array: inside the inner lambda they would be split again for every run.
+    """
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
+        return F.when(F.size(w) >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(words(text)), of)[0]
 
 
 def cue(text: Column, name: str) -> Column:

@@ -66,8 +66,8 @@ def adoption(units: DataFrame, has: DataFrame, edges: DataFrame, week: Column) -
     return mantel_haenszel(s, ["feature"])
 
 
-def coupling(units: DataFrame, has: DataFrame, edges: DataFrame, week: Column, least: int = 5) -> DataFrame:
-    """Pairs A -> B, A other than B: risk ratio of B in a target with a source that shows A; at least `least` exposed cases and lo > 1."""
+def coupling(units: DataFrame, has: DataFrame, edges: DataFrame, week: Column, least: int = 5, above: float = 1.0) -> DataFrame:
+    """Pairs A -> B, A other than B: risk ratio of B in a target with a source that shows A; at least `least` exposed cases and lo > above."""
     v = edges.select("v").distinct().join(units.select(F.col("unit").alias("v"), week.alias("week")), "v")
     n = v.groupBy("week").agg(F.count(F.lit(1)).alias("n"))
     seen = edges.join(has.withColumnRenamed("unit", "u"), "u").select("v", F.col("feature").alias("a_feature")).distinct().join(v, "v")
@@ -77,7 +77,7 @@ def coupling(units: DataFrame, has: DataFrame, edges: DataFrame, week: Column, l
     a = seen.join(own.drop("week"), "v").groupBy("a_feature", "b_feature", "week").agg(F.count(F.lit(1)).alias("a"))
     grid = n1.join(b, "week").filter("a_feature <> b_feature").join(a, ["a_feature", "b_feature", "week"], "left").na.fill(0, ["a"]).join(F.broadcast(n), "week")
     s = grid.select("a_feature", "b_feature", "week", "a", "n1", (F.col("b") - F.col("a")).alias("c"), (F.col("n") - F.col("n1")).alias("n0"))
-    return mantel_haenszel(s, ["a_feature", "b_feature"]).filter((F.col("exposed_with") >= least) & (F.col("lo") > 1))
+    return mantel_haenszel(s, ["a_feature", "b_feature"]).filter((F.col("exposed_with") >= least) & (F.col("lo") > above))
 
 
 def shift(units: DataFrame, has: DataFrame, before: Column, after: Column) -> DataFrame:

@@ -106,5 +106,5 @@ def incidents(events: DataFrame, keys: list[str], gap: int = 1800) -> DataFrame:
 def lower_percentile(df: DataFrame, column: str, q: float) -> DataFrame:
     """The order statistic at int(q * (n - 1)), by counts of distinct values."""
     by = df.groupBy(column).agg(F.count(F.lit(1)).alias("c"))
-    run = by.withColumn("upto", F.sum("c").over(Window.orderBy(column))).crossJoin(F.broadcast(df.agg(F.count(column).alias("n"))))
-    return run.filter(F.col("upto") > F.floor(q * (F.col("n") - 1))).agg(F.min(column).alias("value"))
+    run = by.withColumn("upto", F.sum("c").over(Window.orderBy(column))).crossJoin(F.broadcast(df.agg(F.count(column).alias("_all"))))
+    return run.filter(F.col("upto") > F.floor(q * (F.col("_all") - 1))).agg(F.min(column).alias("value"))

@@ -189,9 +189,9 @@ def value_forms(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy(X.value_form(F.col("v")).alias("form")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH d AS (SELECT doc_id AS id, text LIKE '%http%' AS link, lower(text) AS t FROM documents) SELECT count_if(link) AS links, count_if(regexp_matches(t, '\\b(?:no such|not found|missing|does not exist|doesn''t exist|404)\\b')) AS absent, count_if(regexp_matches(t, '\\b(?:i|we|i''ve|we''ve|i''m|my|our)\\b')) AS first_person, count(*) AS n FROM d""", longs=("links", "absent", "first_person"))
+@query("""WITH d AS (SELECT doc_id AS id, text LIKE '%http%' AS link, lower(text) AS t FROM documents WHERE lang = 'en') SELECT count_if(link) AS links, count_if(regexp_matches(t, '\\b(?:no such|not found|missing|does not exist|doesn''t exist|404)\\b')) AS absent, count_if(regexp_matches(t, '\\b(?:i|we|i''ve|we''ve|i''m|my|our)\\b')) AS first_person, count(*) AS n FROM d""", longs=("links", "absent", "first_person"))
 def cue_counts(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.posts(spark, sf)
+    p = views.posts(spark, sf).filter("channel = 'en'")
     return p.agg(F.count_if(F.contains("text", F.lit("http"))).alias("links"), F.count_if(X.cue(F.col("text"), "absent")).alias("absent"), F.count_if(X.cue(F.col("text"), "first_person")).alias("first_person"), F.count(F.lit(1)).alias("n"))
 
 
