@@ -54,7 +54,11 @@ def artifacts(text: Column) -> Column:
         ("n:", r"#(\d{1,6})\b"), ("c:", r"\b([0-9a-f]{7})[0-9a-f]{0,33}\b"), ("f:", r"\b([a-z0-9_-]+\.(?:py|js|ts|md|json|txt|html|css|yml|yaml|sh|sql|csv))\b"),
         ("u:", r"https?://([^\s/\"'<>)?#]+(?:/[^\s/\"'<>)?#]+){0,2})"),
     )
-    return F.array_distinct(F.concat(*[F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(1)), lambda x, k=k: F.concat(F.lit(k), x)) for k, p in found]))
+
+    def tagged(mark: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda x: F.concat(F.lit(mark), x))
+
+    return F.array_distinct(F.concat(*[tagged(mark, pattern) for mark, pattern in found]))
 
 
 def redact(text: Column) -> Column:

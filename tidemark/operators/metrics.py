@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy()
-
 
 def rate_vs_others(events: DataFrame, hit: Column, by: str = "actor") -> DataFrame:
     """Each key's share of hits against that of all others together."""

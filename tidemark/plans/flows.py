@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunks, cluster, flow, influence, ledger, sequences
@@ -26,7 +26,8 @@ def _flow(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     return e.select(F.col("id").alias("unit"), "actor", "t"), has, sequences.previous_others(e, "channel", 3, 86400)
 
 
-WEEK = flow.week_of(F.col("t"))
+def _week() -> Column:
+    return flow.week_of(F.col("t"))
 
 
 @query(f"""WITH {UNITS_SQL}, n AS (SELECT t // 86400 AS bin, count(*) AS n FROM un GROUP BY 1), k AS (SELECT feature, t // 86400 AS bin, count(*) AS k FROM has JOIN un USING (unit) GROUP BY ALL),
@@ -41,7 +42,7 @@ def flow_state_wilson(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {UNITS_SQL}, {STRATA_SQL}, {RATIO_SQL.format(by='feature')}")
 def flow_transmission(spark: SparkSession, sf: str) -> DataFrame:
     units, has, edges = _flow(spark, sf)
-    return R6(flow.transmission(units, has, edges, WEEK), "rr", "lo", "hi")
+    return R6(flow.transmission(units, has, edges, _week()), "rr", "lo", "hi")
 
 
 @query(f"""WITH {UNITS_SQL}, fi AS (SELECT feature, actor, min(t) AS first_t FROM has JOIN un USING (unit) GROUP BY ALL), ex AS (SELECT DISTINCT v AS unit, feature FROM ed JOIN has ON has.unit = ed.u),
@@ -49,7 +50,7 @@ st AS (SELECT un.unit, un.week, f.feature, ex.unit IS NOT NULL AS e, h.unit IS N
 strata AS (SELECT feature, week, count_if(e AND h) AS a, count_if(e) AS n1, count_if(NOT e AND h) AS c, count_if(NOT e) AS n0 FROM st GROUP BY ALL), {RATIO_SQL.format(by='feature')}""")
 def flow_adoption(spark: SparkSession, sf: str) -> DataFrame:
     units, has, edges = _flow(spark, sf)
-    return R6(flow.adoption(units, has, edges, WEEK), "rr", "lo", "hi")
+    return R6(flow.adoption(units, has, edges, _week()), "rr", "lo", "hi")
 
 
 @query(f"""WITH {UNITS_SQL}, tv AS (SELECT DISTINCT ed.v, week FROM ed JOIN un ON un.unit = ed.v), n AS (SELECT week, count(*) AS n FROM tv GROUP BY week), se AS (SELECT DISTINCT ed.v, feature AS a_feature FROM ed JOIN has ON has.unit = ed.u), ow AS (SELECT DISTINCT v, week, feature AS b_feature FROM tv JOIN has ON has.unit = tv.v),
@@ -57,7 +58,7 @@ n1 AS (SELECT a_feature, week, count(*) AS n1 FROM se JOIN tv USING (v) GROUP BY
 strata AS (SELECT a_feature, b_feature, week, coalesce(a, 0) AS a, n1, b - coalesce(a, 0) AS c, n - n1 AS n0 FROM n1 JOIN b USING (week) JOIN n USING (week) LEFT JOIN a USING (a_feature, b_feature, week) WHERE a_feature <> b_feature), {RATIO_SQL.format(by='a_feature, b_feature')}""")
 def flow_coupling(spark: SparkSession, sf: str) -> DataFrame:
     units, has, edges = _flow(spark, sf)
-    return R6(flow.coupling(units, has, edges, WEEK, least=0, above=-1.0), "rr", "lo", "hi")
+    return R6(flow.coupling(units, has, edges, _week(), least=0, above=-1.0), "rr", "lo", "hi")
 
 
 @query(f"""WITH {UNITS_SQL}, w AS (SELECT *, t >= 1705276800 AS late FROM un WHERE t >= 1704672000 AND t < 1705881600), n AS (SELECT count_if(NOT late) AS n0, count_if(late) AS n1 FROM w), k AS (SELECT feature, count_if(NOT late) AS k0, count_if(late) AS k1 FROM has JOIN w USING (unit) GROUP BY feature)
@@ -112,7 +113,7 @@ def regimes(spark: SparkSession, sf: str) -> DataFrame:
 def influence_links(spark: SparkSession, sf: str) -> DataFrame:
     """Behaviour to behaviour: the coefficient of having a source that shows g on showing f, with week effects; see operators.influence."""
     units, has, edges = _flow(spark, sf)
-    return influence.links(units, has, edges, WEEK)
+    return influence.links(units, has, edges, _week())
 
 
 def pca_layout(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.select import QueryError
 
@@ -12,8 +11,8 @@ from ..operators.select import QueryError
 EVENT_KINDS = ["message", "action", "result", "reasoning", "read", "call", "return", "self_report"]
 ACTOR_KINDS = ["agent", "human", "system"]
 
-EVENTS = T.StructType().add("id", "string").add("ts", "string").add("actor", "string").add("kind", "string").add("text", "string").add("channel", "string").add("reply_to", "string").add("url", "string").add("to", "array<string>").add("meta", "string").add("_bad", "string")
-ACTORS = T.StructType().add("id", "string").add("label", "string").add("kind", "string").add("role", "string").add("model", "string").add("parent", "string").add("lineage", "string").add("aliases", "array<string>").add("_bad", "string")
+EVENTS = "id string, ts string, actor string, kind string, text string, channel string, reply_to string, url string, to array<string>, meta string, _bad string"
+ACTORS = "id string, label string, kind string, role string, model string, parent string, lineage string, aliases array<string>, _bad string"
 WORK = {
     "tags": "event_id string, tags array<string>, other string, summary string, confidence string",
     "concerns": "event_id string, kind string, quote string, confidence string, basis string, unconfirmed string",
@@ -21,7 +20,7 @@ WORK = {
 }
 
 
-def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines of JSON; empty lines are skipped, a malformed one is kept in _bad for the validator. A scalar `to` becomes a list of one."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
     fixed = F.regexp_replace("value", r'("to"\s*:\s*)("(?:[^"\\]|\\.)*")(\s*[,}])', "$1[$2]$3")
