@@ -6,30 +6,36 @@ often as fits. The rest is filled from its documents by ascending exponential ke
 sizes comes nearest to the budget; u is a hash of id and text, so reruns agree.
 
 Nothing sorts a source: keys fall into buckets of about BUCKET documents, whose sums are added up; only the bucket that holds
-a source's edge is ordered. The result is a threshold for each source, applied in a second scan without moving texts.
+a source's edge is ordered. Texts are scanned once for a small row each; the result is a threshold for each source, applied
+without moving texts.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .kernels import chunks, int64, words
 
-WORD = r"[^\x20\x09-\x0D]+"
+SYMBOL = np.zeros(256, bool)
+SYMBOL[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 BUCKET = 2000
 WEIGHTS = (3, 1, 2)
 
 
-def size_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def quality_weight(text: Column) -> Column:
-    """From 0.05 to 1: the share of characters that are letters, marks, digits or white space."""
-    plain = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}\s]+", ""))
-    return F.greatest(F.lit(0.05), F.coalesce(plain / F.greatest(F.length(text), F.lit(1)), F.lit(1.0)))
+def measure(texts: pa.Array) -> pa.Array:
+    """The number of words of each text, and its quality weight: from 0.05 to 1, the share of code points other than ASCII symbols."""
+    size, weight = np.zeros(len(texts), np.int64), np.ones(len(texts))
+    for i, j, data, offsets in chunks(texts):
+        starts, _, owner = words(data, offsets)
+        size[i:j] = np.bincount(owner, minlength=j - i)
+        whole, marks = (np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]) for x in ((data & 0xC0) != 0x80, SYMBOL[data]))
+        weight[i:j] = np.maximum(0.05, 1 - marks / np.maximum(whole, 1))
+    return pa.StructArray.from_arrays([int64(size), pa.array(weight)], names=["size", "weight"])
 
 
 def _uniform(seed: int, *parts: Column) -> Column:
@@ -40,9 +46,11 @@ def _uniform(seed: int, *parts: Column) -> Column:
 def keyed(documents: DataFrame, id_col: str, source_col: str, text_col: str, weight: Column | None = None, seed: int = 17, *more: Column) -> DataFrame:
     """id, source, size and es, the exponential key, of each document."""
     text = F.col(text_col)
-    w = quality_weight(text) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9))
     u = _uniform(seed, F.col(id_col).cast("long"), text)
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size_of(text).alias("size"), (-F.log(u) / w).alias("es"), *more)
+    given = F.lit(None).cast("double") if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9))
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.arrow_udf(measure, "struct<size:bigint,weight:double>")(text).alias("m"), u.alias("u"), given.alias("w"), *more)
+    named = [c for c in rows.columns if c not in ("id", "source", "m", "u", "w")]
+    return rows.select("id", "source", F.col("m.size").alias("size"), (-F.log("u") / F.coalesce("w", "m.weight")).alias("es"), *named)
 
 
 def targets(sizes: DataFrame, share: float, epochs: float, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -92,9 +100,8 @@ def plan(rows: DataFrame, share: float, epochs: float) -> DataFrame:
     return cut(out.select("source", "source_size", "target", "rounds", F.when(F.col("below"), F.col("low")).otherwise(F.col("edge")).alias("edge"), F.coalesce("below", F.lit(False)).alias("open")))
 
 
-def _times(rows: DataFrame, share: float, epochs: float) -> DataFrame:
-    """rows with their source's size and target, and times, how often each is taken. The plan has a row for each source."""
-    chosen = plan(rows.select("id", "source", "size", "es"), share, epochs)
+def _times(rows: DataFrame, chosen: DataFrame, epochs: float) -> DataFrame:
+    """rows with their source's size and target, and times, how often each is taken. chosen is the plan, a row for each source."""
     out = rows.join(chosen.select(F.col("source").alias("s2"), "source_size", "target", "rounds", "edge", "open"), F.col("source").eqNullSafe(F.col("s2")), "left")
     extra = F.when(F.col("open"), F.col("es") < F.col("edge")).otherwise(F.col("es") <= F.col("edge"))
     times = F.when(F.col("size") == 0, 0).otherwise(F.coalesce("rounds", F.lit(0)) + F.coalesce(extra.cast("int"), F.lit(0)))
@@ -104,7 +111,8 @@ def _times(rows: DataFrame, share: float, epochs: float) -> DataFrame:
 def repeat(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", share: float = 1.5, epochs: float = 2, weight: Column | None = None, seed: int = 17) -> DataFrame:
     """The rows of documents, all columns as they are, each as often as mix takes it."""
     rows = keyed(documents, id_col, source_col, text_col, weight, seed, F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    return _times(rows, share, epochs).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
+    chosen = plan(cut(rows.select("id", "source", "size", "es")), share, epochs)
+    return _times(rows, chosen, epochs).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", share: float = 1.5, epochs: float = 2, weight: Column | None = None, seed: int = 17) -> DataFrame:
@@ -115,7 +123,8 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     has size and target 0. A null source is a source of its own, the last. The id may be null or repeated: rows with one id
     and text have one key, and are taken or left together. An empty table gives an empty result.
     """
-    out = _times(keyed(documents, id_col, source_col, text_col, weight, seed), share, epochs)
+    rows = cut(keyed(documents, id_col, source_col, text_col, weight, seed))
+    out = _times(rows, plan(rows, share, epochs), epochs)
     return out.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", F.coalesce("source_size", F.lit(0)).alias("source_size"),
         F.coalesce("target", F.lit(0.0)).alias("target"), "times", (F.col("times") * F.col("size")).alias("taken"),
