@@ -27,9 +27,12 @@ FIRST_ID = -(1 << 63)
 
 def _phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of phrases and of paragraphs, and the text each belongs to."""
+    p_starts, p_lens = runs(data != 0x0A, offsets)
+    paragraph = splitmix(segment_hash(data, p_starts, p_lens))
+    p_owner = np.searchsorted(offsets, p_starts, side="right") - 1
     starts, lens, owner = words(data, offsets)
     if not len(starts):
-        return np.empty(0, U64), np.empty(0, np.int64)
+        return paragraph, p_owner
     hashed = segment_hash(data, starts, lens)
     line = np.cumsum(data == 0x0A)[starts]
     new = np.ones(len(starts), bool)
@@ -37,9 +40,7 @@ def _phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = np.flatnonzero(new)
     place = np.arange(len(starts)) - np.repeat(at, np.diff(np.append(at, len(starts))))
     phrase = splitmix(np.add.reduceat(hashed * (U64(2) * place.astype(U64) + U64(1)), at))
-    p_starts, p_lens = runs(data != 0x0A, offsets)
-    paragraph = splitmix(segment_hash(data, p_starts, p_lens))
-    return np.concatenate([phrase, paragraph]), np.concatenate([owner[at], np.searchsorted(offsets, p_starts, side="right") - 1])
+    return np.concatenate([phrase, paragraph]), np.concatenate([owner[at], p_owner])
 
 
 def _sections(text: bytes) -> tuple[bytes, list[tuple[bytes, list[bytes]]]]:
