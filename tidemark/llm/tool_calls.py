@@ -147,11 +147,12 @@ def _write(schemas: dict[str, dict]):
 def depths(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """conv, call_id, depth, call_turn of each call: depth 0 without known references, else one more than the deepest; call_turn is the least turn that keeps order.
 
-    calls: conv, call_id, turn, refs. Calls in or behind a circle of references have no row.
+    calls: conv, call_id, turn, refs, result_turn (null: none). Calls in or behind a circle of references have no row.
     """
     node = calls.select("conv", "call_id", "turn")
+    ends = calls.select(F.col("conv").alias("c2"), F.col("call_id").alias("ref2"), F.coalesce("result_turn", "turn").alias("ref_end"))
     edges = calls.select("conv", "call_id", "turn", F.explode("refs").alias("ref"))
-    edges = cut(edges.join(node.select(F.col("conv").alias("c2"), F.col("call_id").alias("ref2")), (F.col("conv") == F.col("c2")) & (F.col("ref") == F.col("ref2"))).select("conv", "call_id", "turn", "ref"))
+    edges = cut(edges.join(ends, (F.col("conv") == F.col("c2")) & (F.col("ref") == F.col("ref2"))).select("conv", "call_id", "turn", "ref", "ref_end"))
     free = node.join(edges.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti")
     done = free.select("conv", "call_id", F.lit(0).alias("depth"), F.col("turn").alias("call_turn"))
     if not edges.take(1):
@@ -160,7 +161,7 @@ def depths(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
     for _ in range(max_rounds):
         known = done.select(F.col("conv").alias("c2"), F.col("call_id").alias("ref2"), "depth", "call_turn")
         joined = edges.join(done.select("conv", "call_id"), ["conv", "call_id"], "left_anti").join(known, (F.col("conv") == F.col("c2")) & (F.col("ref") == F.col("ref2")), "left")
-        ready = joined.groupBy("conv", "call_id").agg(F.count_if(F.col("ref2").isNull()).alias("open"), (F.max("depth") + 1).alias("depth"), F.greatest(F.max("turn"), F.max("call_turn")).alias("call_turn"))
+        ready = joined.groupBy("conv", "call_id").agg(F.count_if(F.col("ref2").isNull()).alias("open"), (F.max("depth") + 1).alias("depth"), F.greatest(F.max("turn"), F.max("call_turn"), F.max("ref_end")).alias("call_turn"))
         new = cut(ready.filter("open = 0").select("conv", "call_id", "depth", "call_turn"))
         if not new.take(1):
             return done
@@ -180,11 +181,12 @@ def link(conversations: DataFrame, schemas: dict[str, dict] | None = None, excha
     events = slim.mapInArrow(_parse(exchanges), _SCHEMA)
     named = events.filter("conv is not null and call_id is not null")
     first = named.filter("kind = 'call'").groupBy("conv", "call_id").agg(F.min_by(F.struct("turn", "part", "refs"), F.struct("turn", "part")).alias("f"))
-    calls = cut(first.select("conv", "call_id", F.col("f.turn").alias("turn"), F.col("f.part").alias("part"), F.col("f.refs").alias("refs")))
-    results = named.filter("kind = 'result'").groupBy("conv", "call_id").agg(F.min("turn").alias("result_turn"))
-    placed = depths(calls)
     keys = ["conv", "call_id"]
-    known = calls.select(*keys, F.col("turn").alias("own_turn"), F.col("part").alias("own_part")).join(results, keys, "left").join(placed, keys, "left")
+    results = named.filter("kind = 'result'").groupBy(*keys).agg(F.min("turn").alias("result_turn"))
+    calls = first.select(*keys, F.col("f.turn").alias("turn"), F.col("f.part").alias("part"), F.col("f.refs").alias("refs"))
+    calls = cut(calls.join(results, keys, "left"))
+    placed = depths(calls)
+    known = calls.select(*keys, F.col("turn").alias("own_turn"), F.col("part").alias("own_part"), "result_turn").join(placed, keys, "left")
     joined = events.join(known, keys, "left")
     call, result = F.col("kind") == "call", F.col("kind") == "result"
     owner = call & F.col("own_turn").eqNullSafe(F.col("turn")) & F.col("own_part").eqNullSafe(F.col("part"))
