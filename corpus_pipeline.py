@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_codec, minhash_dedup, mixing, quality
-from tidemark.llm.queries import GRADE, SELECT_GRADE
+from tidemark.llm.queries import SELECT_GRADE, grade
 from tidemark.session import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose probability of the highest grade is a half or more."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"), GRADE)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), grade())
     return quality.select(docs, model, SELECT_GRADE).select(COLUMNS)
 
 

@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed text.
 
 P(grade >= k) = sigmoid(w . x - threshold_k) with one weight vector and ordered thresholds. x holds, for a whole text, the
-presence of hashed words and symbol runs and a few binned statistics (repetition, share of symbols). Fitting takes a bounded
+presence of hashed words, beginnings of words and symbol runs, and a few binned statistics (repetition, share of symbols). Fitting takes a bounded
 sample of rated texts, SAMPLE by default, chosen by a hash of the id, and runs proximal accelerated gradient steps with
 an L1 penalty on the driver; the model is a vector of fixed size. Scoring is one pass over the texts, without a shuffle.
 """
@@ -12,15 +12,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, U64, WHITE, chunks, runs, segment_hash
+from .kernels import LOWER, U64, WHITE, chunks, runs, segment_hash, splitmix
 
 BITS = 18
 BINS = 10
+STEM = 4
 SAMPLE = 6000
 
 _WORD = np.zeros(256, bool)
@@ -38,7 +38,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     w_owner, s_owner = (np.searchsorted(offsets, s, side="right") - 1 for s in (w_starts, s_starts))
     room = (1 << BITS) - 4 * BINS
     number = lambda h: (h % U64(room)).astype(np.int64)
-    flat = np.unique(np.concatenate([(w_owner << BITS) | number(w_hash), (s_owner << BITS) | number(s_hash)]))
+    longer = w_lens > STEM
+    stem = splitmix(segment_hash(lower, w_starts[longer], np.full(int(longer.sum()), STEM)))
+    flat = np.unique(np.concatenate([(w_owner << BITS) | number(w_hash), (w_owner[longer] << BITS) | number(stem), (s_owner << BITS) | number(s_hash)]))
 
     n_words = np.maximum(np.bincount(w_owner, minlength=n), 1)
     n_symbols = np.bincount(s_owner, minlength=n)
@@ -83,7 +85,7 @@ def _score(weights: np.ndarray, number: np.ndarray, count: np.ndarray) -> np.nda
     return np.bincount(np.repeat(np.arange(len(count)), count), weights=weights[number], minlength=len(count))
 
 
-def fit(number: np.ndarray, count: np.ndarray, grade: np.ndarray, l1: float = 2e-4, l2: float = 1e-4, rounds: int = 400, least: int = 4) -> Ordinal:
+def fit(number: np.ndarray, count: np.ndarray, grade: np.ndarray, l1: float = 5e-4, l2: float = 1e-4, rounds: int = 400, least: int = 4) -> Ordinal:
     """Maximum likelihood by accelerated proximal gradient. Features of fewer than least texts are left out.
 
     One grade only, or no texts: a model without information, whose tails are 1 for the grades up to the one seen.
@@ -101,7 +103,10 @@ def fit(number: np.ndarray, count: np.ndarray, grade: np.ndarray, l1: float = 2e
     share = np.array([(level > j).mean() for j in range(k)])
     theta = np.log((1 - share) / share)
     w = np.zeros(len(used))
-    scale = 1 / np.sqrt(np.maximum(np.bincount(column, minlength=len(used)) / n, 1e-4))  # rare features move as fast as common ones
+    # rare features move as fast as common ones, and those that tell nothing about the grade hardly at all
+    has = np.bincount(column, minlength=len(used))
+    z = (np.bincount(column, weights=level[row], minlength=len(used)) / has - level.mean()) / max(level.std(), 1e-9) * np.sqrt(has)
+    scale = z**2 / (z**2 + 16) / np.sqrt(np.maximum(has / n, 1e-4))
     mean_nnz = max(1.0, len(column) / n)
     step = 2.0 / mean_nnz
     pw, pt, t = w.copy(), theta.copy(), 1.0
@@ -180,12 +185,12 @@ def select(documents: DataFrame, model: Ordinal, select_grade: int, select_at: f
     passes through Python, next to its row."""
     shipped = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def keeps(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def keeps(texts: pa.Array) -> pa.Array:
         m = shipped.value
         kept = np.zeros(len(texts), bool)
-        for i, j, data, offsets in chunks(pa.array(texts, pa.string(), from_pandas=True)):
+        for i, j, data, offsets in chunks(texts):
             kept[i:j] = m.tail_of(m.tails(_score(m.weights, *features(data, offsets))), select_grade) >= select_at
-        return pd.Series(kept)
+        return pa.array(kept)
 
     return documents.filter(keeps(F.col(text_col)))

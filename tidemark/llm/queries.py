@@ -5,24 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
 from . import bpe_codec, embedding_dedup, html_main, merkle, minhash_dedup, mixing, quality, sharding, token_count, tool_calls
 
-#: A text is graded 0 if rated low, 1 if rated high but toxic, 2 if rated high and clean; selection asks for grade 2.
-GRADE = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
 SELECT_GRADE = 2
 
 
+def grade() -> Column:
+    """0 if rated low, 1 if rated high but toxic, 2 if rated high and clean; selection asks for grade 2."""
+    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+
+
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model = quality.train(documents, table(spark, sf_dir, "labels"), GRADE)
+    model = quality.train(documents, table(spark, sf_dir, "labels"), grade())
     return quality.classify(documents, model, SELECT_GRADE)
 
 
@@ -77,16 +80,17 @@ WITH RECURSIVE shards AS (
          ('0x' || substr(md5('skip:' || name), 1, 15))::BIGINT % {sharding.SLOTS - 1} + 1 AS skip
   FROM shards
 ), orders AS (
-  SELECT list(list_transform(range({sharding.SLOTS}), lambda j: (off + j * skip) % {sharding.SLOTS}) ORDER BY k) AS prefs FROM numbered
+  SELECT list(off ORDER BY k) AS offs, list(skip ORDER BY k) AS skips FROM numbered
 ), claims AS (
-  SELECT 0::BIGINT AS turn, []::BIGINT[] AS taken, -1::BIGINT AS slot
+  SELECT 0::BIGINT AS turn, list_transform(range({sharding.SLOTS}), lambda i: true) AS free, -1::BIGINT AS slot
   UNION ALL
-  SELECT turn + 1,
-         list_append(taken, free), free
+  SELECT turn + 1, list_transform(free, lambda f, i: f AND i <> claimed + 1), claimed
   FROM (
-    SELECT c.turn, c.taken,
-           list_extract(list_filter(o.prefs[(c.turn % {sharding.SHARDS} + 1)::BIGINT], lambda s: NOT list_contains(c.taken, s)), 1) AS free
-    FROM claims c, orders o WHERE c.turn < {sharding.SLOTS}
+    SELECT turn, free, (off + list_extract(list_filter(range({sharding.SLOTS}), lambda j: free[(off + j * skip) % {sharding.SLOTS} + 1]), 1) * skip) % {sharding.SLOTS} AS claimed
+    FROM (
+      SELECT c.turn, c.free, o.offs[c.turn % {sharding.SHARDS} + 1] AS off, o.skips[c.turn % {sharding.SHARDS} + 1] AS skip
+      FROM claims c, orders o WHERE c.turn < {sharding.SLOTS}
+    )
   )
 ), lookup AS (
   SELECT slot, (turn - 1) % {sharding.SHARDS} AS shard FROM claims WHERE turn > 0
