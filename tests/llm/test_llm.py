@@ -167,7 +167,7 @@ def test_embedding_links_equal_brute_force(spark):
         assert found.sum() >= 0.98 * close.sum()
         assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in (9001, 9002, 9003, 9004, 9005))
         assert got[9006]["n_links"] == 1 and got[9007]["component_id"] == 9006 and got[None]["kept"]
-        assert got[1500]["component_id"] == 0 and got[1939]["component_id"] == got[39]["component_id"]
+        assert got[1500]["component_id"] == 0 and got[1839]["component_id"] == got[39]["component_id"]
 
 
 def test_quality_held_out_accuracy(spark):

@@ -103,9 +103,12 @@ def fit(number: np.ndarray, count: np.ndarray, grade: np.ndarray, l1: float = 5e
     share = np.array([(level > j).mean() for j in range(k)])
     theta = np.log((1 - share) / share)
     w = np.zeros(len(used))
-    # rare features move as fast as common ones, and those that tell nothing about the grade hardly at all
+    # rare features move as fast as common ones, and those that tell nothing about any threshold hardly at all
     has = np.bincount(column, minlength=len(used))
-    z = (np.bincount(column, weights=level[row], minlength=len(used)) / has - level.mean()) / max(level.std(), 1e-9) * np.sqrt(has)
+    z = np.zeros(len(used))
+    for j in range(1, k + 1):
+        above = (level >= j).astype(float)
+        z = np.maximum(z, np.abs(np.bincount(column, weights=above[row], minlength=len(used)) / has - above.mean()) / max(above.std(), 1e-9) * np.sqrt(has))
     scale = z**2 / (z**2 + 16) / np.sqrt(np.maximum(has / n, 1e-4))
     mean_nnz = max(1.0, len(column) / n)
     step = 2.0 / mean_nnz
