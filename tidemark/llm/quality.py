@@ -146,15 +146,15 @@ def rated(documents: DataFrame, ratings: DataFrame, grade: Column, id_col: str =
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(2)):
                 number, count = features(data, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(number.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], names=["id", "grade", "number"])
+                ends = np.cumsum(count)
+                packed = pa.array([number[e - c : e].astype("<i4").tobytes() for e, c in zip(ends, count, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), packed], names=["id", "grade", "number"])
 
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(picked), "id").select("id", "grade", "text").mapInArrow(run, "id long, grade int, number array<int>")
-    found = sorted(rows.toLocalIterator(), key=lambda r: (r["id"], r["grade"], len(r["number"]), r["number"]))
-    count = np.array([len(r["number"]) for r in found], np.int64)
-    number = np.concatenate([np.array(r["number"], np.int64) for r in found]) if found else np.empty(0, np.int64)
-    return number, count, np.array([r["grade"] for r in found], np.int64)
+    rows = texts.join(F.broadcast(picked), "id").select("id", "grade", "text").mapInArrow(run, "id long, grade int, number binary")
+    found = sorted((r["id"], r["grade"], bytes(r["number"])) for r in rows.toLocalIterator())  # at most sample texts
+    parts = [np.frombuffer(n, "<i4").astype(np.int64) for _, _, n in found]
+    return np.concatenate([*parts, np.empty(0, np.int64)]), np.array([len(p) for p in parts], np.int64), np.array([g for _, g, _ in found], np.int64)
 
 
 def train(documents: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Ordinal:
