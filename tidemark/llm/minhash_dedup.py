@@ -6,9 +6,12 @@ At the threshold of 0.75, 8 and 2 give a pair a chance of 0.997 to share a key,
 
 Plan: one scan makes a small row for each document (set size, set hash, groups), cut to the checkpoint folder. Documents with
 equal sets are one class. A class whose groups are alone in one collection has no key to share and leaves; the others emit their
-keys. Every bucket links its members to its least one; these pairs are confirmed on the full shingle sets, made again from the
-whole texts. Members of a bucket that are still in different components are then compared pair by pair, so that
-no candidate is lost, while a bucket of near copies costs a number of pairs in proportion to its size.
+keys. Every bucket pairs its members with its least one; these pairs are confirmed on the full shingle sets, made again from the
+whole texts. Buckets whose members are still in different components get further centres, the least by other orders. Members that are then
+still in different components are compared pair by pair, each pair in the first table it shares only, so that no candidate is lost, while
+a bucket of near copies costs a number of pairs in proportion to its size. Before texts are fetched, a
+pair must pass two tests that need none: the sizes of the sets allow the threshold, and of BITS one-bit minhashes no more than APART
+differ (16 are expected at 0.75, where 35 or more have a chance below 0.00001; 48 at 0.25, as where many texts share a passage).
 """
 
 from __future__ import annotations
@@ -18,20 +21,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import components
 from .kernels import U64, chunks, int64, per_text, shingle_sets, splitmix, stream
 
-SIGNATURE = "id long, n long, s1 long, s2 long, groups array<long>"
+SIGNATURE = "id long, n long, s1 long, s2 long, x1 long, x2 long, groups array<long>"
+BITS = 128
+APART = 34
+CENTRES = 4
 
 
 def _signatures(width: int, tables: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 2 * tables * rows
-        flip, odd = stream(31, total), stream(32, total) | U64(1)
+        flip, odd = stream(31, total + BITS), stream(32, total + BITS) | U64(1)
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, offsets in chunks(batch.column(1)):
@@ -41,6 +47,13 @@ def _signatures(width: int, tables: int, rows: int):
                 for k in range(total):
                     least = per_text(np.minimum, (sets ^ flip[k]) * odd[k], count)
                     groups[:, k // rows] = splitmix(groups[:, k // rows] + least + U64(k))
+                bits = np.zeros((2, int(some.sum())), U64)
+                for k in range(BITS):
+                    least = per_text(np.minimum, (sets ^ flip[total + k]) * odd[total + k], count)
+                    bits[k // 64] |= ((least >> U64(20)) & U64(1)) << U64(k % 64)
+                sketch = [np.zeros(j - i, U64), np.zeros(j - i, U64)]
+                for whole, own in zip(sketch, bits, strict=True):
+                    whole[some] = own
                 sums = [np.zeros(j - i, U64), np.zeros(j - i, U64)]
                 for s, salt in zip(sums, (0, 0x5851F42D4C957F2D), strict=True):
                     s[some] = splitmix(per_text(np.add, splitmix(sets ^ U64(salt)), count) + count[some].astype(U64))
@@ -50,14 +63,15 @@ def _signatures(width: int, tables: int, rows: int):
                 )
                 hidden = pa.scalar(None, pa.int64())
                 parts = [ids.slice(i, j - i), int64(count)]
-                parts += [pc.if_else(none, hidden, int64(s)) for s in sums]
-                yield pa.RecordBatch.from_arrays([*parts, lists], names=["id", "n", "s1", "s2", "groups"])
+                parts += [pc.if_else(none, hidden, int64(s)) for s in (*sums, *sketch)]
+                yield pa.RecordBatch.from_arrays([*parts, lists], names=["id", "n", "s1", "s2", "x1", "x2", "groups"])
 
     return run
 
 
 def signatures(documents: DataFrame, id_col: str, text_col: str, width: int = 5, tables: int = 8, rows: int = 2) -> DataFrame:
-    """One row per document: id, n (size of its shingle set), s1 and s2 (hash of the set, null if empty), groups (2 * tables)."""
+    """One row per document: id, n (size of its shingle set), s1 and s2 (hash of the set, null if empty), x1 and x2 (a bit of each of
+    BITS more minhashes), groups (2 * tables)."""
     slim = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(_signatures(width, tables, rows), SIGNATURE)
 
@@ -114,29 +128,66 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     member = sized.select("id", "s1", "s2").join(classes, ["s1", "s2"])
     copies = member.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
-    heads = sized.join(classes, ["s1", "s2"]).filter("id = rep").dropDuplicates(["rep", "s1", "s2"])
-    keyed = heads.select("rep", "n", F.posexplode("groups").alias("at", "key")).withColumn("key", F.xxhash64("at", "key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
-    live = keyed.join(shared, "key", "left_semi")
-    sides = live.groupBy("rep", "n").agg(
-        F.collect_list(F.when(F.col("at") < tables, F.col("key"))).alias("one"), F.collect_list(F.when(F.col("at") >= tables, F.col("key"))).alias("two")
-    )
-    tensor = cut(sides.select("rep", "n", F.explode("one").alias("k1"), "two").select("rep", "n", "k1", F.explode("two").alias("k2")).select(F.xxhash64("k1", "k2").alias("key"), "rep", "n"))
-
-    centre = tensor.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top").select("key", "a")
-    stars = cut(tensor.join(centre, "key").filter("rep > a").select("a", F.col("rep").alias("b")).distinct())
-    linked = cut(confirm(stars, documents, id_col, text_col, percent, width))
-    first = components(copies.union(linked))
-
-    placed = tensor.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component_id", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-    open_ = cut(placed.join(mixed, "key", "left_semi"))
-    left, right = (open_.select("key", *(F.col(x).alias(f"{x}{i}") for x in ("rep", "n", "c"))) for i in (1, 2))
-    alike = (F.col("c1") < F.col("c2")) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-    rest = left.join(right, "key").filter(alike).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
-    more = confirm(rest, documents, id_col, text_col, percent, width) if rest.take(1) else rest
-    final = components(copies.union(linked).union(more)) if rest.take(1) else first
+    heads = sized.join(classes, ["s1", "s2"]).filter("id = rep").dropDuplicates(["rep", "s1", "s2"]).withColumnRenamed("s1", "s").drop("id", "s2")
+    heads = cut(heads)
+    keyed = heads.select("rep", "s", F.posexplode("groups").alias("at", "group"))
+    shared = keyed.groupBy("at", "group").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low < high").select("at", "group")
+    live = keyed.join(shared, ["at", "group"], "left_semi")
+    sides = live.groupBy("rep", "s").agg(*[F.collect_list(F.when(c, F.struct("at", "group"))).alias(x) for x, c in (("one", F.col("at") < tables), ("two", F.col("at") >= tables))])
+    every = sides.select("rep", "s", F.explode("one").alias("k1"), "two").select("rep", "s", "k1", F.explode("two").alias("k2"))
+    every = every.select(F.xxhash64("k1.at", "k1.group", "k2.at", "k2.group").alias("key"), (F.col("k1.at") * 256 + F.col("k2.at")).alias("at"), "rep", "s")
+    multi = every.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low < high").select("key")
+    tensor = cut(every.join(multi, "key", "left_semi"))
+
+    def alike(i: str, j: str) -> Column:
+        apart = F.bit_count(F.col(f"x1{i}").bitwiseXOR(F.col(f"x1{j}"))) + F.bit_count(F.col(f"x2{i}").bitwiseXOR(F.col(f"x2{j}")))
+        return (F.least(f"n{i}", f"n{j}") * 100 >= F.greatest(f"n{i}", f"n{j}") * percent) & (apart <= APART)
+
+    one, two = (heads.select(*[F.col(c).alias(f"{c}{i}") for c in ("rep", "n", "x1", "x2")]) for i in ("1", "2"))
+
+    def check(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that pass the tests and haven't been tried, and of these the confirmed ones."""
+        near = pairs.join(one, F.col("a") == F.col("rep1")).join(two, (F.col("b") == F.col("rep2")) & alike("1", "2")).select("a", "b").distinct()
+        near = cut(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
+        return near, cut(confirm(near, documents, id_col, text_col, percent, width))
+
+    def centred(rows: DataFrame, orders: list[int]) -> DataFrame:
+        """Pairs of members with their bucket's centres. An order is by id xor a number, so the least gives the id back."""
+        least = rows.groupBy("key").agg(*[F.min(F.col("rep").bitwiseXOR(F.lit(o))).alias(f"m{o}") for o in orders])
+        other = F.explode(F.array_distinct(F.array(*[F.col(f"m{o}").bitwiseXOR(F.lit(o)) for o in orders])))
+        pairs = rows.join(least, "key").select("rep", other.alias("other")).filter("rep <> other")
+        return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+    def still_open(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows of buckets that hold more than one component."""
+        placed = rows.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "at", "rep", "s", F.coalesce("component_id", "rep").alias("c"))
+        mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
+        return cut(placed.join(mixed, "key", "left_semi"))
+
+    tried, linked = check(centred(tensor, [0]), None)
+    found = components(copies.union(linked))
+    open_ = still_open(tensor, found)
+    pairs = centred(open_, [int(x) >> 2 for x in stream(33, CENTRES)])
+    apart = [found.select(F.col("id").alias(x), F.col("component_id").alias(f"c_{x}")) for x in ("a", "b")]
+    pairs = pairs.join(apart[0], "a", "left").join(apart[1], "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    near, linked = check(pairs, tried)
+    if linked.take(1):
+        found = components(found.select(F.col("component_id").alias("a"), F.col("id").alias("b")).union(linked))
+        open_ = still_open(open_.drop("c"), found)
+    tried = tried.union(near)
+    parts = [F.shiftrightunsigned(F.col("groups")[2 * k], 32).bitwiseXOR(F.col("groups")[2 * k + 1].bitwiseAND(F.lit(-1 << 32))).alias(f"g{k}") for k in range(tables)]
+    marked = open_.join(heads.select("rep", "s", "n", "x1", "x2", *parts), ["rep", "s"]).drop("s")
+    left, right = (marked.select("key", *[F.col(c).alias(f"{c}_{i}") for c in marked.columns if c != "key"]) for i in ("1", "2"))
+    equal = [(F.col(f"g{k // 2}_1").bitwiseXOR(F.col(f"g{k // 2}_2"))).bitwiseAND(F.lit(0xFFFFFFFF if k % 2 == 0 else -1 << 32)) == 0 for k in range(2 * tables)]
+    where = [F.lit(-1), F.lit(-1)]  # the first group of either collection that both share: only in that table the pair counts
+    for half in (0, 1):
+        for k in reversed(range(tables)):
+            where[half] = F.when(equal[half * tables + k], F.lit(half * tables + k)).otherwise(where[half])
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("c_1") < F.col("c_2")) & alike("_1", "_2") & (where[0] * 256 + where[1] == F.col("at_1")))
+    rest = met.select(F.least("rep_1", "rep_2").alias("a"), F.greatest("rep_1", "rep_2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = cut(rest)
+    more = cut(confirm(rest, documents, id_col, text_col, percent, width))
+    final = components(found.select(F.col("component_id").alias("a"), F.col("id").alias("b")).union(more)) if more.take(1) else found
 
     out = base.join(final, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
