@@ -6,7 +6,7 @@ At the threshold of 0.75, 8 and 2 give a pair a chance of 0.997 to share a key,
 
 Plan: one scan makes a small row for each document (set size, set hash, groups), cut to the checkpoint folder. Documents with
 equal sets are one class. A class whose groups are alone in one collection has no key to share and leaves; the others emit their
-keys. Every bucket pairs its members with its least one; these pairs are confirmed on the full shingle sets, made again from the
+keys. Every class is paired with the least one of its buckets; these pairs are confirmed on the full shingle sets, made again from the
 whole texts. Buckets whose members are still in different components get further centres, the least by other orders. Members that are then
 still in different components are compared pair by pair, each pair in the first table it shares only, so that no candidate is lost, while
 a bucket of near copies costs a number of pairs in proportion to its size. Before texts are fetched, a
@@ -31,7 +31,7 @@ from .kernels import U64, chunks, int64, per_text, shingle_sets, splitmix, strea
 SIGNATURE = "id long, n long, s1 long, s2 long, x1 long, x2 long, groups array<long>"
 BITS = 128
 APART = 34
-CENTRES = 4
+CENTRES = 12
 
 
 def _signatures(width: int, tables: int, rows: int):
@@ -152,10 +152,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         return near, cut(confirm(near, documents, id_col, text_col, percent, width))
 
     def centred(rows: DataFrame, orders: list[int]) -> DataFrame:
-        """Pairs of members with their bucket's centres. An order is by id xor a number, so the least gives the id back."""
+        """Pairs of each member with the least member of its buckets, one by each order. An order is by id xor a number, so the least gives the id back."""
         least = rows.groupBy("key").agg(*[F.min(F.col("rep").bitwiseXOR(F.lit(o))).alias(f"m{o}") for o in orders])
-        other = F.explode(F.array_distinct(F.array(*[F.col(f"m{o}").bitwiseXOR(F.lit(o)) for o in orders])))
-        pairs = rows.join(least, "key").select("rep", other.alias("other")).filter("rep <> other")
+        best = rows.join(least, "key").groupBy("rep").agg(*[F.min(f"m{o}").bitwiseXOR(F.lit(o)).alias(f"m{o}") for o in orders])
+        pairs = best.select("rep", F.explode(F.array_distinct(F.array(*[F.col(f"m{o}") for o in orders]))).alias("other")).filter("rep <> other")
         return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
     def still_open(rows: DataFrame, found: DataFrame) -> DataFrame:
