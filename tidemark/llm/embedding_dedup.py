@@ -6,8 +6,9 @@ A pair that shares several leaves counts in the first of them only, so the numbe
 return sums for each vector, and at most one linking edge less than they have vectors.
 
 Splits are fitted on samples of bounded size: for the top of the trees one sample of all vectors, below it one for each leaf
-that is still too large. A leaf that no split makes smaller, a dense group, is compared exactly, in pairs of blocks of
-LEAF vectors over many tasks. Equal vectors are one class from the start.
+that is still too large. Where a sample shows many close pairs, a split must leave them together: other directions are tried, those
+of vectors with many close ones among them, which part a dense group from the rest. A leaf that no such split makes smaller, a dense
+group, is compared exactly, in pairs of blocks of LEAF vectors over many tasks. Equal vectors are one class from the start.
 """
 
 from __future__ import annotations
@@ -31,9 +32,38 @@ LEAF = 2048
 TARGET = 400
 SAMPLE = 16384
 LEAST = 32
-
-
-def _fit(points: np.ndarray, depth: int, seed: int) -> list[tuple[np.ndarray, float, float] | None]:
+#: For dense groups: rows of a node that are compared, close pairs among them from which on they count, share of these a split may part.
+SEEN = 256
+CLOSE = 30
+PARTED = 0.1
+
+
+def _parted(p: np.ndarray, low: float, high: float, pairs: tuple[np.ndarray, np.ndarray]) -> float:
+    """The share of pairs that a split leaves on no common side."""
+    a, b = p[pairs[0]], p[pairs[1]]
+    return float(np.mean((np.maximum(a, b) > high) & (np.minimum(a, b) < low)))
+
+
+def _whole_split(points: np.ndarray, few: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], first: tuple[np.ndarray, float, float], rng: np.random.Generator) -> tuple[np.ndarray, float, float] | None:
+    """Of some splits of a node's points, the one that parts the least of the close pairs of the rows few; None if all part too many."""
+    degree = np.bincount(np.concatenate(pairs), minlength=len(few))
+    tries = [(first[0], [0.5])]
+    for x in rng.standard_normal((3, points.shape[1])):
+        tries.append((x / np.linalg.norm(x), [0.5]))
+    for k in rng.choice(len(few), 3, p=degree / degree.sum()):
+        tries.append((points[few[k]], [k / 10 for k in range(1, 10)]))
+    best, least = None, PARTED
+    for direction, places in tries:
+        p = points @ direction
+        for place in places:
+            low, high = np.quantile(p, [place - SPILL / 2, place + SPILL / 2])
+            share = _parted(p[few], low, high, pairs)
+            if max((p <= high).sum(), (p >= low).sum()) <= 0.9 * len(p) and (share < least or best is None and share == least):
+                best, least = (direction, float(low), float(high)), share
+    return best
+
+
+def _fit(points: np.ndarray, depth: int, seed: int, threshold: float) -> list[tuple[np.ndarray, float, float] | None]:
     """A heap-ordered tree: (direction, low, high) of each inner node; vectors below high go left, above low right."""
     rng = np.random.default_rng(seed)
     nodes: list[tuple[np.ndarray, float, float] | None] = [None] * (2**depth - 1)
@@ -46,6 +76,14 @@ def _fit(points: np.ndarray, depth: int, seed: int) -> list[tuple[np.ndarray, fl
         direction /= np.linalg.norm(direction)
         p = points[own] @ direction
         low, high = np.quantile(p, [0.5 - SPILL / 2, 0.5 + SPILL / 2])
+        few = rng.choice(len(own), min(SEEN, len(own)), replace=False)
+        pairs = np.nonzero(np.triu(points[own[few]] @ points[own[few]].T >= threshold, 1))
+        if len(pairs[0]) >= CLOSE:
+            found = _whole_split(points[own], few, pairs, (direction, low, high), rng)
+            if found is None:
+                continue
+            direction, low, high = found
+            p = points[own] @ direction
         left, right = own[p <= high], own[p >= low]
         if max(len(left), len(right)) > 0.9 * len(own):
             continue
@@ -105,11 +143,11 @@ def _plant(shipped):
     return run
 
 
-def _split(depth: int):
+def _split(depth: int, threshold: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         points = np.stack(rows.sort_values("rep")["v"].map(np.asarray)).astype(float)
         points /= np.linalg.norm(points, axis=1, keepdims=True)
-        nodes = _fit(points, depth, int(key[0]) & 0x7FFFFFFF)
+        nodes = _fit(points, depth, int(key[0]) & 0x7FFFFFFF, threshold)
         flat = [(int(key[0]), k, x[0].tolist(), x[1], x[2]) for k, x in enumerate(nodes) if x is not None]
         return pd.DataFrame(flat, columns=["leaf", "node", "direction", "low", "high"])
 
@@ -231,7 +269,7 @@ def near_duplicates(
         points /= np.linalg.norm(points, axis=1, keepdims=True)
         depth = min(max(0, math.ceil(math.log2(max(1, n / target)))), max(0, int(math.log2(max(1, len(points) / LEAST)))))
         seeds = (stream(seed, trees) & U64(0x7FFFFFFF)).astype(int)
-        forest = spark.sparkContext.broadcast([_fit(points, depth, int(s)) for s in seeds])  # of bounded size: trees * sample / LEAST directions
+        forest = spark.sparkContext.broadcast([_fit(points, depth, int(s), threshold) for s in seeds])  # of bounded size: trees * sample / LEAST directions
         planted = cut(own.select("rep", "v", "copies").mapInArrow(_plant(forest), "rep long, v array<double>, copies long, leaves array<long>"))
 
         final: set[int] = set()
@@ -244,7 +282,7 @@ def near_duplicates(
             spread = planted.select("rep", "v", F.explode("leaves").alias("leaf")).join(before, "leaf")
             few = spread.filter(F.pmod(F.xxhash64("rep", "leaf"), F.lit(1 << 20)) < F.lit(float(sample // 8) * (1 << 20)) / F.col("count"))
             levels = 6
-            split = few.select("rep", "v", "leaf").groupBy("leaf").applyInPandas(_split(levels), "leaf long, node int, direction array<double>, low double, high double")
+            split = few.select("rep", "v", "leaf").groupBy("leaf").applyInPandas(_split(levels, threshold), "leaf long, node int, direction array<double>, low double, high double")
             packed = split.groupBy("leaf").agg(F.collect_list(F.struct("node", "direction", "low", "high")).alias("splits"))
             moved = spread.join(packed, "leaf").select("rep", "v", "leaf", "splits").mapInArrow(_descend(levels), "rep long, old long, new long")
             swap = moved.groupBy("rep").agg(F.collect_set("old").alias("old"), F.collect_set("new").alias("new"))
