@@ -21,8 +21,8 @@ INTENT = r"\b(?:i will|i'll|going to|let me|plan to|next i)\b"
 CUES = {"claim": CLAIM, "first_person": FIRST_PERSON, "doubt": DOUBT, "correction": CORRECTION, "absent": ABSENT, "intent": INTENT}
 
 
-def tokens(text: Column, limit: int | None = 2000) -> Column:
-    """Lower-case words of two letters or more, of the first limit characters."""
+def tokens(text: Column, limit: int | None = None) -> Column:
+    """Lower-case words of two letters or more; with a limit, of the first limit characters only."""
     return F.regexp_extract_all(F.lower(text if limit is None else F.substring(text, 1, limit)), F.lit(WORD), F.lit(1))
 
 

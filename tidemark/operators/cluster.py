@@ -131,7 +131,7 @@ def erasure(n: int, cov_x: np.ndarray, cov_xz: np.ndarray) -> np.ndarray:
     return np.eye(len(cov_x)) - half @ u @ u.T @ inverse
 
 
-def screener(rows: DataFrame, features: int = 1 << 16, limit: int = 2000) -> DataFrame:
+def screener(rows: DataFrame, features: int = 1 << 16, limit: int | None = None) -> DataFrame:
     """id, score, test: logistic regression on hashed words of rows (id, actor, text, label); actors whose hash is 0 of 5 are held out."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
