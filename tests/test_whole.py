@@ -35,6 +35,10 @@ def test_whole_texts(spark, duck, name):
     whole(spark, duck, name, "[1:2000]")
 
 
+def test_every_event_is_a_focus(spark, duck):
+    whole(spark, duck, "context_window", " WHERE id % 997 = 0")
+
+
 def test_screener_reads_whole_texts(spark):
     rows = [(k, f"a{k % 20}", "same " * 500 + ("late" if k % 2 else "other"), k % 2) for k in range(200)]
     got = cluster.screener(spark.createDataFrame(rows, "id long, actor string, text string, label int"))

@@ -130,5 +130,5 @@ def first_per(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 def context(df: DataFrame, place: str, wanted: DataFrame, k: int) -> DataFrame:
     """wanted (one column, id) with the rows up to k places before and after it in its place: focus, id, offset."""
     numbered = df.select(place, "id", F.row_number().over(Window.partitionBy(place).orderBy("t", "id")).alias("at"))
-    focus = numbered.join(F.broadcast(wanted.select(F.col("id").alias("focus"))), F.col("id") == F.col("focus")).select(F.col(place).alias("_p"), "focus", F.explode(F.sequence(F.col("at") - k, F.col("at") + k)).alias("_at"), F.col("at").alias("mid"))
+    focus = numbered.join(wanted.select(F.col("id").alias("focus")), F.col("id") == F.col("focus")).select(F.col(place).alias("_p"), "focus", F.explode(F.sequence(F.col("at") - k, F.col("at") + k)).alias("_at"), F.col("at").alias("mid"))
     return numbered.join(focus, (F.col(place) == F.col("_p")) & (F.col("at") == F.col("_at"))).select("focus", "id", (F.col("at") - F.col("mid")).cast("int").alias("offset"))
