@@ -43,6 +43,10 @@ def test_every_event_chases(spark, duck):
     whole(spark, duck, "pointer_chase", " WHERE id % 50 = 0")
 
 
+def test_every_line_is_tested(spark, duck):
+    whole(spark, duck, "bh_fdr", " WHERE l_linenumber = 1")
+
+
 def test_screener_reads_whole_texts(spark):
     rows = [(k, f"a{k % 20}", "same " * 500 + ("late" if k % 2 else "other"), k % 2) for k in range(200)]
     got = cluster.screener(spark.createDataFrame(rows, "id long, actor string, text string, label int"))

@@ -46,11 +46,10 @@ def mantel_haenszel(strata: DataFrame, by: list[str], z: float = Z) -> DataFrame
 
 def benjamini_hochberg(df: DataFrame, p: str, level: float) -> DataFrame:
     """The rows with passes: p at or below the largest p that is within level * rank / n. One row per test."""
-    w = Window.orderBy(F.asc(p))
-    ranked = df.withColumn("_k", F.rank().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    ranked = ranked.withColumn("_top", F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    cut = F.max(F.when(F.col(p) <= level * F.col("_top") / F.col("_n"), F.col(p))).over(Window.partitionBy())
-    return ranked.withColumn("passes", F.coalesce(F.col(p) <= cut, F.lit(False))).drop("_k", "_n", "_top")
+    counts = df.groupBy(p).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = counts.withColumn("_top", F.sum("_c").over(Window.orderBy(F.asc(p)))).withColumn("_n", F.sum("_c").over(Window.partitionBy()))
+    cut = ranked.agg(F.max(F.when(F.col(p) <= level * F.col("_top") / F.col("_n"), F.col(p))).alias("_cut"))
+    return df.crossJoin(F.broadcast(cut)).withColumn("passes", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def kappa(both: Column, only_one: Column, only_two: Column, neither: Column) -> Column:
