@@ -95,31 +95,36 @@ def spreaders(units: DataFrame, has: DataFrame, edges: DataFrame) -> DataFrame:
     return pair.join(units.select(F.col("unit").alias("u"), "actor"), "u").groupBy("feature", "actor").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-def cascades(units: DataFrame, has: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def cascades(units: DataFrame, has: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected groups of two or more units that show a feature: feature, cascade (least unit), units, actors, depth (units on the longest path).
 
-    Labels fall along edges until they settle, then depths rise; every round is cut to the checkpoint folder.
+    Labels fall along edges until they settle, then depths rise until none grows; every round is cut to the checkpoint folder.
+    Edges that run in a circle have no longest path and raise an error.
     """
     shown = has.select("unit", "feature").distinct()
     pairs = edges.join(shown.withColumnRenamed("unit", "u"), "u").join(shown.select(F.col("unit").alias("v"), F.col("feature").alias("f2")), "v").filter("feature = f2")
     pairs = cut(pairs.select("feature", "v", "u").distinct())
     both = pairs.select("feature", F.col("v").alias("x"), F.col("u").alias("y")).union(pairs.select("feature", "u", "v")).distinct()
     label = cut(both.select("feature", "x").distinct().withColumn("label", F.col("x")))
-    for _ in range(max_rounds):
+    moved = True
+    while moved:
         near = both.join(label.select("feature", F.col("x").alias("y"), F.col("label").alias("other")), ["feature", "y"]).groupBy("feature", "x").agg(F.min("other").alias("other"))
         jump = label.join(near, ["feature", "x"]).select("feature", "x", F.least("label", "other").alias("m"), "label")
         root = label.select("feature", F.col("x").alias("m"), F.col("label").alias("root"))
         new = cut(jump.join(root, ["feature", "m"]).select("feature", "x", F.least("m", "root").alias("label"), (F.least("m", "root") < F.col("label")).alias("moved")))
         label = new.select("feature", "x", "label")
-        if not new.filter("moved").take(1):
-            break
-    depth = label.select("feature", "x", F.lit(1).alias("depth"))
-    for _ in range(max_rounds):
-        step = pairs.join(depth.select("feature", F.col("x").alias("u"), (F.col("depth") + 1).alias("d")), ["feature", "u"]).groupBy("feature", F.col("v").alias("x")).agg(F.max("d").alias("d"))
+        moved = bool(new.filter("moved").take(1))
+    depth = grown = label.select("feature", "x", F.lit(1).alias("depth"))
+    most = label.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most + 1):
+        step = pairs.join(grown.select("feature", F.col("x").alias("u"), (F.col("depth") + 1).alias("d")), ["feature", "u"]).groupBy("feature", F.col("v").alias("x")).agg(F.max("d").alias("d"))
         new = cut(depth.join(step, ["feature", "x"], "left").select("feature", "x", F.greatest("depth", F.coalesce("d", F.lit(1))).alias("depth"), (F.col("d") > F.col("depth")).alias("grew")))
         depth = new.select("feature", "x", "depth")
-        if not new.filter("grew").take(1):
+        grown = new.filter("grew").select("feature", "x", "depth")
+        if not grown.take(1):
             break
+    else:
+        raise RuntimeError("the edges of cascades run in a circle")
     joined = label.join(depth, ["feature", "x"]).join(units.select(F.col("unit").alias("x"), "actor"), "x")
     return joined.groupBy("feature", F.col("label").alias("cascade")).agg(F.count(F.lit(1)).alias("units"), F.count_distinct("actor").alias("actors"), F.max("depth").alias("depth"))
 

@@ -79,10 +79,7 @@ bo AS (SELECT feature, v AS x, u AS y FROM pr UNION SELECT feature, u, v FROM pr
 la AS (SELECT feature, x, min(r) AS cascade FROM re GROUP BY ALL), dp AS (SELECT DISTINCT feature, x, 1 AS d FROM bo UNION SELECT pr.feature, pr.v, dp.d + 1 FROM dp JOIN pr ON pr.feature = dp.feature AND pr.u = dp.x)
 SELECT la.feature, la.cascade, count(*) AS units, count(DISTINCT un.actor) AS actors, max(d.d) AS depth FROM la JOIN (SELECT feature, x, max(d) AS d FROM dp GROUP BY ALL) d USING (feature, x) JOIN un ON un.unit = la.x GROUP BY ALL""")
 def cascade_components(spark: SparkSession, sf: str) -> DataFrame:
-    e = views.events(spark, sf)
-    has = e.filter("value > 90").select(F.col("id").alias("unit"), F.col("kind").alias("feature")).union(e.filter("value > 97").select("id", F.lit("high")))
-    units, _, edges = _flow(spark, sf)
-    return flow.cascades(units, has, edges)
+    return flow.cascades(*_flow(spark, sf))
 
 
 @query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL) SELECT q.vec_id AS q_id, e.vec_id, r.place FROM q, LATERAL (SELECT vec_id, CAST(row_number() OVER (ORDER BY round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), vec_id) AS INTEGER) AS place FROM embeddings e WHERE e.vec_id <> q.vec_id) r JOIN embeddings e ON e.vec_id = r.vec_id WHERE r.place <= 11""")
