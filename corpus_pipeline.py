@@ -6,7 +6,7 @@ Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; al
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_codec, minhash_dedup, mixing, quality
@@ -23,10 +23,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the least id, of each group of near duplicates."""
-    found = minhash_dedup.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
+    """Keep one row, that with the least id, of each group of near duplicates.
+
+    Rows with one id are one document: the first by text stays. A null id is settled by text: for grouping it is a number
+    above 2**62 from the text's hash, so equal texts are one document and a row with an id stays rather than one without.
+    """
+    by_text = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    named = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), by_text))
+    found = minhash_dedup.near_duplicates(named.select("key", "text"), id_col="key")
+    kept = found.filter("kept").select("key").distinct()
+    first = named.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("text", "lang", "source", "n_chars"))).filter("place = 1")
+    return first.join(kept, "key", "left_semi").select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
