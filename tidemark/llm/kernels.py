@@ -31,35 +31,81 @@ def stream(seed: int, n: int) -> np.ndarray:
     return splitmix((np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) + splitmix(np.array([seed], U64)))
 
 
-BYTE = stream(11, 256) | U64(1)
-BASE = int(stream(12, 1)[0] | U64(1))
-_POWERS = np.ones(1, U64)
+LANE = 8
+_KEYS = stream(13, 64)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(LANE + 1)], U64)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    while len(_POWERS) < n:
-        step = U64(pow(BASE, len(_POWERS), 1 << 64))
-        _POWERS = np.concatenate([_POWERS, _POWERS * step])
-    return _POWERS
+def _keys(n: int) -> np.ndarray:
+    global _KEYS
+    if len(_KEYS) < n:
+        _KEYS = stream(13, 2 * n)
+    return _KEYS
 
 
-def segment_hash(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, budget: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each non-empty segment data[start : start + len]; segments ascend and don't overlap."""
-    out = np.empty(len(starts), U64)
-    ends, i = starts + lens, 0
+def _pieces(starts: np.ndarray, lens: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:
+    """Ranges of segments of about budget bytes together."""
+    upto, i = np.cumsum(lens), 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + budget, side="right")))
-        size = lens[i:j]
-        first = np.cumsum(size) - size
-        within = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-        value = BYTE[data[within + np.repeat(starts[i:j], size)]]
-        value *= _powers(int(size.max()))[within]
-        out[i:j] = np.add.reduceat(value, first)
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] - lens[i] + budget, side="right")))
+        yield i, j
         i = j
+
+
+def _lanes(view: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segments as 64-bit numbers of eight bytes, the last filled with zeros; the place of each in its segment; each segment's first."""
+    count = (lens + LANE - 1) // LANE
+    first = np.cumsum(count) - count
+    within = np.arange(int(count.sum()), dtype=np.int64) - np.repeat(first, count)
+    value = view[np.repeat(starts, count) + LANE * within]
+    value[first + count - 1] &= _MASKS[lens - LANE * (count - 1)]
+    return value, within, first
+
+
+def _view(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as a number."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(LANE, np.uint8)]), strides=(1,))
+
+
+def segment_hash(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, budget: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each non-empty segment data[start : start + len]: the sum of its mixed lanes, each under the key of its place.
+
+    Segments of one length up to eight bytes have different hashes if they differ. Longer ones may collide by chance, so
+    a hash groups, and bytes decide.
+    """
+    out, view = np.empty(len(starts), U64), _view(data)
+    for i, j in _pieces(starts, lens, budget):
+        value, within, first = _lanes(view, starts[i:j], lens[i:j])
+        out[i:j] = np.add.reduceat(splitmix(value ^ _keys(int(within.max()) + 1)[within]), first)
     return splitmix(out + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, hashed: np.ndarray | None = None, budget: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A segment of each distinct byte string, its hash, and the number of its byte string for each segment.
+
+    Segments of one hash are compared byte by byte with the first of them; those that differ are told apart by their bytes.
+    """
+    hashed = segment_hash(data, starts, lens) if hashed is None else hashed
+    keys, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+    view, model = _view(data), first[inverse]
+    other = lens[model] != lens
+    for i, j in _pieces(starts, lens, budget):
+        value, _, at = _lanes(view, starts[i:j], lens[i:j])
+        same, _, _ = _lanes(view, np.where(other[i:j], starts[i:j], starts[model[i:j]]), lens[i:j])
+        other[i:j] |= np.logical_or.reduceat(value != same, at)
+    if other.any():
+        known: dict[bytes, int] = {}
+        more = []
+        for k in np.flatnonzero(other).tolist():
+            word = data[starts[k] : starts[k] + lens[k]].tobytes()
+            if word not in known:
+                known[word] = len(first) + len(more)
+                more.append(k)
+            inverse[k] = known[word]
+        first, keys = np.concatenate([first, more]), np.concatenate([keys, hashed[more]])
+    return first, keys, inverse
+
+
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -4,18 +4,28 @@ Two collections of ``tables`` short minhash groups are computed, 2 * tables * ro
 joins group i of the first collection with group j of the second, so tables ** 2 tables cost the minhashes of 2 * tables.
 At the threshold of 0.75, 8 and 2 give a pair a chance of 0.997 to share a key, 0.9998 at 0.8.
 
-Plan: one scan makes a small row for each document (set size, set hash, groups), cut to the checkpoint folder. Documents with
-equal sets are one class. A class whose groups are alone in one collection has no key to share and leaves; the others emit their
-keys. Every class is paired with the least one of its buckets; these pairs are confirmed on the full shingle sets, made again from the
-whole texts. Buckets whose members are still in different components get further centres, the least by other orders. Members that are then
-still in different components are compared pair by pair, each pair in the first table it shares only, so that no candidate is lost, while
-a bucket of near copies costs a number of pairs in proportion to its size. Before texts are fetched, a
-pair must pass two tests that need none: the sizes of the sets allow the threshold, and of BITS one-bit minhashes no more than APART
-differ (16 are expected at 0.75, where 35 or more have a chance below 0.00001; 48 at 0.25, as where many texts share a passage).
+Plan: one scan makes a small row for each document (set size, digest of its words, groups), cut to the checkpoint folder. Documents
+with equal words are one class. A class whose groups are alone in one collection has no key to share and leaves; the others emit their
+keys. Candidates are confirmed on the words of the whole texts, in three steps:
+
+1. Every class with the least one of its buckets.
+2. In buckets whose members are still in different components, every member with further centres, the least by other orders.
+3. In buckets still open, the pairs that bounds can't exclude. A link needs shingles that both documents have, so a shingle held
+   by one component only counts for nothing: members are dropped as long as those left to them are fewer than the threshold asks
+   for, and what remains is counted by ranges of the shingles' hashes. Two members meet only if the sum over ranges of the
+   lesser counts allows the threshold; each pair in the first table it shares only. Bounds exclude no link.
+
+Steps 1 and 2 make a number of pairs in proportion to the rows. So does step 3 on rewrites of one text that differ by own words; what it
+compares beyond that are members whose common shingles come close to the threshold but don't reach it.
+
+Before texts are fetched, a pair must pass two tests that need none: the sizes of the sets allow the threshold, and four bits of each
+minhash differ in no more places than a pair at the threshold exceeds with a chance of MISSED.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,74 +39,91 @@ from .components import components
 from .kernels import U64, chunks, int64, per_text, shingle_sets, splitmix, stream
 
 SIGNATURE = "id long, n long, s1 long, s2 long, x1 long, x2 long, groups array<long>"
-BITS = 128
-APART = 34
+NIBBLES = 32
+MISSED = 1e-5
 CENTRES = 12
+RANGES = 16
+PEELS = 3
+
+
+def allowed(percent: int, marks: int) -> int:
+    """The least number of differing marks, of four bits each, that a pair at the threshold exceeds with a chance of MISSED at most."""
+    differ, tail = (1 - percent / 100) * 15 / 16, 1.0
+    for k in range(marks + 1):
+        tail -= math.comb(marks, k) * differ**k * (1 - differ) ** (marks - k)
+        if tail <= MISSED:
+            return k
+    return marks
+
+
+def word_digest(raw: bytes) -> bytes:
+    """A cryptographic digest, of 128 bits, of the words of a text without the case of A-Z."""
+    return hashlib.blake2b(b" ".join(raw.lower().split()), digest_size=16).digest()
+
+
+def _digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    raw = data.tobytes()
+    return np.frombuffer(b"".join([word_digest(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]), "<i8").reshape(-1, 2)
 
 
 def _signatures(width: int, tables: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 2 * tables * rows
-        flip, odd = stream(31, total + BITS), stream(32, total + BITS) | U64(1)
+        flip, odd = stream(31, total), stream(32, total) | U64(1)
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, offsets in chunks(batch.column(1)):
                 sets, count = shingle_sets(data, offsets, width)
                 some = count > 0
                 groups = np.zeros((int(some.sum()), 2 * tables), U64)
+                marks = np.zeros((2, j - i), U64)
                 for k in range(total):
                     least = per_text(np.minimum, (sets ^ flip[k]) * odd[k], count)
                     groups[:, k // rows] = splitmix(groups[:, k // rows] + least + U64(k))
-                bits = np.zeros((2, int(some.sum())), U64)
-                for k in range(BITS):
-                    least = per_text(np.minimum, (sets ^ flip[total + k]) * odd[total + k], count)
-                    bits[k // 64] |= ((least >> U64(20)) & U64(1)) << U64(k % 64)
-                sketch = [np.zeros(j - i, U64), np.zeros(j - i, U64)]
-                for whole, own in zip(sketch, bits, strict=True):
-                    whole[some] = own
-                sums = [np.zeros(j - i, U64), np.zeros(j - i, U64)]
-                for s, salt in zip(sums, (0, 0x5851F42D4C957F2D), strict=True):
-                    s[some] = splitmix(per_text(np.add, splitmix(sets ^ U64(salt)), count) + count[some].astype(U64))
+                    if k < NIBBLES:
+                        marks[k // 16, some] |= ((least >> U64(20)) & U64(15)) << U64(4 * (k % 16))
+                digest = _digests(data, offsets)
                 none = pa.array(~some)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(some * 2 * tables)]).astype(np.int32)), int64(groups.reshape(-1))
                 )
                 hidden = pa.scalar(None, pa.int64())
                 parts = [ids.slice(i, j - i), int64(count)]
-                parts += [pc.if_else(none, hidden, int64(s)) for s in (*sums, *sketch)]
+                parts += [pc.if_else(none, hidden, int64(s)) for s in (digest[:, 0], digest[:, 1], *marks)]
                 yield pa.RecordBatch.from_arrays([*parts, lists], names=["id", "n", "s1", "s2", "x1", "x2", "groups"])
 
     return run
 
 
 def signatures(documents: DataFrame, id_col: str, text_col: str, width: int = 5, tables: int = 8, rows: int = 2) -> DataFrame:
-    """One row per document: id, n (size of its shingle set), s1 and s2 (hash of the set, null if empty), x1 and x2 (a bit of each of
-    BITS more minhashes), groups (2 * tables)."""
+    """One row per document: id, n (size of its shingle set), s1 and s2 (digest of its words, null without words), x1 and x2 (four bits
+    of each minhash), groups (2 * tables)."""
     slim = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(_signatures(width, tables, rows), SIGNATURE)
 
 
+def _binary(texts: pa.Array) -> pa.Array:
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+
+
+def word_shingles(raw: bytes, width: int) -> set[tuple[bytes, ...]]:
+    """The distinct width-word shingles of a text without the case of A-Z; of fewer words, the whole sequence."""
+    found = raw.lower().split()
+    return set(zip(*(found[k:] for k in range(width)), strict=False)) if len(found) >= width else {tuple(found)} if found else set()
+
+
 def _confirm(percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_text, held = None, None
+        held_text, held = None, set()
         for batch in batches:
-            left = batch.column(2)
             hits = np.zeros(batch.num_rows, bool)
-            for i, j, data, offsets in chunks(batch.column(3)):
-                sets, count = shingle_sets(data, offsets, width)
-                ends = np.cumsum(count)
-                for r in range(i, j):
-                    text = left[r].as_py() or ""
-                    if text != held_text:
-                        raw = np.frombuffer(text.encode(), np.uint8)
-                        held_text, held = text, shingle_sets(raw, np.array([0, len(raw)]), width)[0]
-                    own = sets[ends[r - i] - count[r - i] : ends[r - i]]
-                    if not len(own) or not len(held):
-                        continue
-                    small, big = (own, held) if len(own) <= len(held) else (held, own)
-                    at = np.minimum(np.searchsorted(big, small), len(big) - 1)
-                    both = int((big[at] == small).sum())
-                    hits[r] = 100 * both >= percent * (len(own) + len(held) - both)
+            for r, (one, two) in enumerate(zip(_binary(batch.column(2)), _binary(batch.column(3)), strict=True)):
+                one, two = one.as_py() or b"", two.as_py() or b""
+                if one != held_text:
+                    held_text, held = one, word_shingles(one, width)
+                other = word_shingles(two, width)
+                both = len(held & other)
+                hits[r] = both > 0 and 100 * both >= percent * (len(held) + len(other) - both)
             keep = pa.array(hits)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -104,9 +131,9 @@ def _confirm(percent: int, width: int):
 
 
 def confirm(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: str, percent: int = 75, width: int = 5) -> DataFrame:
-    """The pairs (a, b) of ids whose whole texts' shingle sets have 100 * intersection >= percent * union.
+    """The pairs (a, b) of ids whose whole texts' shingle sets have 100 * intersection >= percent * union, the words themselves compared.
 
-    Both joins use one exchange of the texts; a side with many pairs is split by the adaptive skew join.
+    Both joins use one exchange of the texts that pairs ask for; a side with many pairs is split by the adaptive skew join.
     """
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     first = pairs.hint("merge").join(texts.hint("merge"), F.col("b") == F.col("id")).select("a", "b", F.col("text").alias("text_b"))
@@ -114,11 +141,39 @@ def confirm(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: str,
     return both.select("a", "b", F.col("text").alias("text_a"), "text_b").mapInArrow(_confirm(percent, width), "a long, b long")
 
 
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in chunks(batch.column(1)):
+                sets, count = shingle_sets(data, offsets, width)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), int64(sets))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), int64(_digests(data, offsets)[:, 0]), lists], names=["rep", "s", "sets"])
+
+    return run
+
+
+def _bounded(members: DataFrame, documents: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
+    """members (rep, s, c, n) that may still link with a member of another component c, with f0 .. f15: how many of their shingles other
+    components have too, by range of the hash. Shingles are counted by hash, so a collision only loosens the bound."""
+    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    wanted = texts.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    spread = wanted.mapInArrow(_sets(width), "rep long, s long, sets array<long>").join(members, ["rep", "s"])
+    rows = spread.select("rep", "s", "c", "n", F.explode("sets").alias("h")).distinct()
+    parts = [F.count_if(F.shiftrightunsigned("h", 60) == k).alias(f"f{k}") for k in range(RANGES)]
+    for k in range(PEELS):
+        foreign = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("h")
+        rows = rows.join(foreign, "h", "left_semi")
+        left = rows.groupBy("rep", "s", "c", "n").agg(F.count(F.lit(1)).alias("left"), *(parts if k == PEELS - 1 else [])).filter(F.col("left") * 100 >= F.col("n") * percent)
+        if k < PEELS - 1:
+            rows = cut(rows.join(left.select("rep", "s"), ["rep", "s"], "left_semi"))
+    return cut(left.drop("left"))
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, tables: int = 8, rows: int = 2) -> DataFrame:
     """One row per row of documents: the id, n_shingles, component_id (least id reachable by links), kept (it is the least).
 
     A document's set holds its distinct width-word shingles over whole texts, compared without the case of A-Z; two documents link if
-    100 * intersection >= percent * union. Null or blank texts have an empty set and link with nothing. Rows with one id
+    100 * intersection >= percent * union, found by comparing words. Null or blank texts have an empty set and link with nothing. Rows with one id
     are one document: a link of any of them counts. Rows with a null id link with nothing: component_id null, kept true. Other
     columns of documents, whatever their names, don't matter. An empty table gives an empty result.
     """
@@ -139,9 +194,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     multi = every.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low < high").select("key")
     tensor = cut(every.join(multi, "key", "left_semi"))
 
+    limit = allowed(percent, min(NIBBLES, 2 * tables * rows))
+
+    def differing(one: Column, two: Column) -> Column:
+        x = one.bitwiseXOR(two)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
     def alike(i: str, j: str) -> Column:
-        apart = F.bit_count(F.col(f"x1{i}").bitwiseXOR(F.col(f"x1{j}"))) + F.bit_count(F.col(f"x2{i}").bitwiseXOR(F.col(f"x2{j}")))
-        return (F.least(f"n{i}", f"n{j}") * 100 >= F.greatest(f"n{i}", f"n{j}") * percent) & (apart <= APART)
+        apart = sum((differing(F.col(f"{x}{i}"), F.col(f"{x}{j}")) for x in ("x1", "x2")), F.lit(0))
+        return (F.least(f"n{i}", f"n{j}") * 100 >= F.greatest(f"n{i}", f"n{j}") * percent) & (apart <= limit)
 
     one, two = (heads.select(*[F.col(c).alias(f"{c}{i}") for c in ("rep", "n", "x1", "x2")]) for i in ("1", "2"))
 
@@ -175,15 +238,18 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         found = components(found.select(F.col("component_id").alias("a"), F.col("id").alias("b")).union(linked))
         open_ = still_open(open_.drop("c"), found)
     tried = tried.union(near)
+    near_ones = _bounded(open_.select("rep", "s", "c").distinct().join(heads.select("rep", "s", "n"), ["rep", "s"]), documents, id_col, text_col, percent, width)
     parts = [F.shiftrightunsigned(F.col("groups")[2 * k], 32).bitwiseXOR(F.col("groups")[2 * k + 1].bitwiseAND(F.lit(-1 << 32))).alias(f"g{k}") for k in range(tables)]
-    marked = open_.join(heads.select("rep", "s", "n", "x1", "x2", *parts), ["rep", "s"]).drop("s")
+    marked = open_.drop("c").join(near_ones, ["rep", "s"]).join(heads.select("rep", "s", "x1", "x2", *parts), ["rep", "s"]).drop("s")
     left, right = (marked.select("key", *[F.col(c).alias(f"{c}_{i}") for c in marked.columns if c != "key"]) for i in ("1", "2"))
     equal = [(F.col(f"g{k // 2}_1").bitwiseXOR(F.col(f"g{k // 2}_2"))).bitwiseAND(F.lit(0xFFFFFFFF if k % 2 == 0 else -1 << 32)) == 0 for k in range(2 * tables)]
     where = [F.lit(-1), F.lit(-1)]  # the first group of either collection that both share: only in that table the pair counts
     for half in (0, 1):
         for k in reversed(range(tables)):
             where[half] = F.when(equal[half * tables + k], F.lit(half * tables + k)).otherwise(where[half])
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("c_1") < F.col("c_2")) & alike("_1", "_2") & (where[0] * 256 + where[1] == F.col("at_1")))
+    both = sum((F.least(f"f{k}_1", f"f{k}_2") for k in range(RANGES)), F.lit(0))
+    bound = both * 100 >= (F.col("n_1") + F.col("n_2") - both) * percent
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("c_1") < F.col("c_2")) & bound & alike("_1", "_2") & (where[0] * 256 + where[1] == F.col("at_1")))
     rest = met.select(F.least("rep_1", "rep_2").alias("a"), F.greatest("rep_1", "rep_2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = cut(rest)
     more = cut(confirm(rest, documents, id_col, text_col, percent, width))

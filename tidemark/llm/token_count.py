@@ -1,7 +1,7 @@
 """Token counts by heap-and-linked-list byte-pair merging.
 
 The count of a pre-token is its bytes minus its merges; no ids are made. A task counts each distinct pre-token of a chunk of
-texts once, and keeps counts of earlier ones by 64-bit hash in flat arrays of bounded size. Nothing is shuffled.
+texts once, told apart by its bytes, and keeps the counts of earlier ones in a table of bounded size. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,18 +15,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Merger, merger_of_json, pre_tokens
-from .kernels import U64, chunks, int64, segment_hash
+from .kernels import chunks, distinct, int64
 
-KEPT = 3_000_000
-_MODELS: dict[int, tuple[Merger, list[bytes], list[np.ndarray]]] = {}
+KEPT = 64 << 20
+_MODELS: dict[bytes, tuple[Merger, list[bytes], dict[bytes, int]]] = {}
 
 
-def _model(content: bytes) -> tuple[Merger, list[bytes], list[np.ndarray]]:
-    key = hash(content)
-    if key not in _MODELS:
+def _model(content: bytes) -> tuple[Merger, list[bytes], dict[bytes, int]]:
+    if content not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = (*merger_of_json(content), [np.empty(0, U64), np.empty(0, np.int32)])
-    return _MODELS[key]
+        _MODELS[content] = (*merger_of_json(content), {})
+    return _MODELS[content]
+
+
+def _counts(words: list[bytes], merger: Merger, known: dict[bytes, int]) -> list[int]:
+    """The tokens of each word. known keeps them until its words and entries are about KEPT bytes, then starts anew."""
+    counts = [known.get(w) for w in words]
+    for k, c in enumerate(counts):
+        if c is None:
+            counts[k] = known[words[k]] = merger.count(words[k])
+            known[b""] = known.get(b"", 0) + len(words[k]) + 150
+    if known.get(b"", 0) > KEPT:
+        known.clear()
+    return counts
 
 
 def _without_special(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,20 +67,9 @@ def count_chunk(data: np.ndarray, offsets: np.ndarray, model: tuple) -> np.ndarr
     starts, lens, per_part = pre_tokens(data, cuts)
     if not len(starts):
         return total
-    keys, first, inverse = np.unique(segment_hash(data, starts, lens), return_index=True, return_inverse=True)
-    at = np.minimum(np.searchsorted(known[0], keys), max(len(known[0]) - 1, 0))
-    have = known[0][at] == keys if len(known[0]) else np.zeros(len(keys), bool)
-    counts = np.empty(len(keys), np.int32)
-    counts[have] = known[1][at[have]]
+    first, _, inverse = distinct(data, starts, lens)
     raw = data.tobytes()
-    missing = np.flatnonzero(~have)
-    counts[missing] = [merger.count(raw[s : s + n]) for s, n in zip(starts[first[missing]].tolist(), lens[first[missing]].tolist(), strict=True)]
-    if len(known[0]) + len(missing) > KEPT:
-        known[0], known[1] = keys, counts
-    elif len(missing):
-        both = np.concatenate([known[0], keys[missing]])
-        order = np.argsort(both, kind="stable")
-        known[0], known[1] = both[order], np.concatenate([known[1], counts[missing]])[order]
+    counts = np.array(_counts([raw[s : s + n] for s, n in zip(starts[first].tolist(), lens[first].tolist(), strict=True)], merger, known))
     texts = np.repeat(owner, per_part)
     return total + np.bincount(texts, weights=counts[inverse], minlength=len(total)).astype(np.int64)
 
