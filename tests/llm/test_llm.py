@@ -93,6 +93,76 @@ def test_minhash_dense_group(spark):
     assert got == {k: c for k, (_, c) in brute_groups(rows).items()}
 
 
+def thue_morse(n):
+    """Two words of n letters that any polynomial hash modulo a power of two confuses once n is large enough."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [256, 1024])
+def test_bytes_decide_not_hashes(spark, encoding, monkeypatch, n):
+    words = thue_morse(n)
+    rows = [(k, w) for k, w in enumerate(words)] + [(9, words[0].upper())]
+    library = Tokenizer.from_file(JSON_FILE)
+    for collide in (False, True):
+        if collide:  # even if every hash of a task were the same
+            monkeypatch.setattr(kernels, "segment_hash", lambda data, starts, lens, budget=0: np.full(len(starts), 7, np.uint64))
+        import pyarrow as pa
+
+        for _, _, data, offsets in kernels.chunks(pa.array([*words, "one two one two", *words])):
+            starts, lens, _ = bpe.pre_tokens(data, offsets)
+            first, _, inverse = kernels.distinct(data, starts, lens)
+            raw = data.tobytes()
+            found = [raw[s : s + k] for s, k in zip(starts, lens, strict=True)]
+            assert [found[first[i]] for i in inverse] == found and len({found[f] for f in first}) == len(first)
+    monkeypatch.undo()
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {0: 0, 1: 1, 9: 0}
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(frame(spark, rows), JSON_FILE).collect()}
+    assert counts == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in rows}
+    ids = {r["doc_id"]: r["ids"] for r in bpe_codec.encode_decode(frame(spark, rows), RANK_FILE, keep_ids=True).collect()}
+    assert ids == {k: encoding.encode_ordinary(t) for k, t in rows}
+
+
+def test_minhash_recall_by_similarity(spark):
+    """Pairs whose similarity spreads over 0.70 to 0.85, amid rewrites of one text that don't link: every link is found, and nothing else."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(400):
+        base = prose(rng, 100, 10**6).split()
+        at, n = rng.randrange(20, 60), rng.randrange(8, 18)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:at] + [f"x{k}y{j}" for j in range(n)] + base[at + n :]))]
+    hub = prose(rng, 60).split()
+    for k in range(300):
+        words = list(hub)
+        for j in rng.sample(range(60), 3):
+            words[j] = f"z{rng.randrange(10**6)}"
+        rows.append((1000 + k, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame(spark, rows)).collect()}
+    expected = {k: c for k, (_, c) in brute_groups(rows).items()}
+    linked = [k for k in expected if expected[k] != k and k < 1000]
+    assert 40 < len(linked) < 360
+    assert got == expected
+
+
+def test_bounds_drop_what_cannot_link(spark):
+    """Of many rewrites with own words, the bounds leave a number in proportion to the rows, not to their square."""
+    pairs = {}
+    for n in (150, 600):
+        rng = random.Random(5)
+        hub = prose(rng, 60).split()
+        members = []
+        for k in range(n):
+            words = list(hub)
+            for j in rng.sample(range(60), 3):
+                words[j] = f"z{rng.randrange(10**9)}"
+            members.append((k, " ".join(words)))
+        docs = frame(spark, members)
+        heads = minhash_dedup.signatures(docs, "doc_id", "text").select(F.col("id").alias("rep"), F.col("s1").alias("s"), F.col("id").alias("c"), "n")
+        pairs[n] = minhash_dedup._bounded(heads, docs, "doc_id", "text", 75, 5).count()
+    assert pairs[600] <= 4 * pairs[150] + 20
+
+
 def test_components(spark):
     links = [(k + 1, k) for k in range(40)] + [(100, 101), (101, 102), (7, 7), (None, 3), (500, 499), (499, 500)]
     got = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
