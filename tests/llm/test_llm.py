@@ -158,8 +158,8 @@ def test_bounds_drop_what_cannot_link(spark):
                 words[j] = f"z{rng.randrange(10**9)}"
             members.append((k, " ".join(words)))
         docs = frame(spark, members)
-        heads = minhash_dedup.signatures(docs, "doc_id", "text").select(F.col("id").alias("rep"), F.col("s1").alias("s"), F.col("id").alias("c"), "n")
-        pairs[n] = minhash_dedup._bounded(heads, docs, "doc_id", "text", 75, 5).count()
+        heads = minhash_dedup.signatures(docs, "doc_id", "text").select(F.col("id").alias("rep"), F.col("s1").alias("s"), F.col("id").alias("c"), "n", "groups")
+        pairs[n] = minhash_dedup._bounded(heads, docs, "doc_id", "text", 75, 5, 2).count()
     assert pairs[600] <= 4 * pairs[150] + 20
 
 
@@ -330,8 +330,10 @@ def test_merkle(spark, texts):
         if t == edited:
             assert r["near_edited"] == 1
     text = "alpha beta\ngamma delta epsilon\n\nzeta eta theta"
-    assert merkle.differing(text, text) == ([], [])
-    assert merkle.differing(text, text.replace("zeta", "ZETA")) == ([3], [3])
+    differ = lambda a, b: merkle.differing(*merkle.fingerprints([a, b]))
+    assert differ(text, text) == ([], [])
+    assert differ(text, text.replace("zeta", "ZETA")) == ([3], [3])
+    assert differ(text, "new one\n" + text) == ([], [0])
     assert merkle.fingerprints(["a\n"]) != merkle.fingerprints(["a"])
     assert merkle.edit_report(frame(spark, [])).count() == 0 and merkle.edit_report(frame(spark, [(5, "abcdefgh")])).collect()[0]["near_next"] == 1
     assert {r["fingerprint"] for r in merkle.fingerprint(frame(spark, [(1, "x y"), (2, "x y"), (None, None)])).collect()} == {*merkle.fingerprints(["x y", ""])}

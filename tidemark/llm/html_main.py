@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 
 #: Fixed values of HTML: elements without content, with raw content, of inline markup, and what closes an open paragraph.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "template", "noscript", "iframe", "title", "textarea", "svg", "object", "noembed", "noframes", "xmp", "canvas", "audio", "video", "math", "select"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "meter", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+RAW = {"script", "style", "template", "noscript", "iframe", "title", "textarea", "svg", "noembed", "noframes", "xmp", "canvas", "audio", "video", "select"}
+#: Of these, those that a slash in the tag closes; and of the others, those whose content is text to the end tag, whatever it holds.
+FOREIGN = {"svg"}
+VERBATIM = {"script", "style", "textarea", "title", "xmp"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "meter", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "mi", "mn", "mo", "mrow", "msup", "msub", "mfrac", "msqrt", "mtext", "semantics", "object"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"datalist"})}
 
@@ -40,7 +44,8 @@ WORDS = [
 ]
 _TAG = {t: k for k, group in enumerate(TAGS) for t in group}
 _GROUP = {w: k for k, group in enumerate(WORDS) for w in group}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A quote opens a value only behind an equals sign; elsewhere it is a character of the tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^<>\"'=]+|=\s*+(?>\"[^\"]*\"|'[^']*')|[=\"'])*+)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-label|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -55,6 +60,17 @@ class Page:
     link_chars: list[int]
 
 
+def raw_end(source: str, at: int, tag: str, attrs: str, parent: str) -> int:
+    """Where the content of a raw element ends: behind its end tag; one without an end tag ends where its parent does, or at once."""
+    if tag in FOREIGN and attrs.rstrip().endswith("/"):
+        return at
+    close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+    if close and (tag in VERBATIM or not re.compile(rf"<{re.escape(tag)}[\s>]", re.I).search(source, at, close.start()) or tag in FOREIGN):
+        return close.end()
+    end = re.compile(rf"</{re.escape(parent)}\s*>", re.I).search(source, at) if parent != "#" else None
+    return end.start() if end else at
+
+
 def parse(source: str) -> Page:
     """Block nodes in page order, parents before children, and the runs of text that lie directly in them."""
     page = Page(["#"], [""], [-1], [0], [], [0])
@@ -96,8 +112,7 @@ def parse(source: str) -> Page:
                     owner, in_link = stack[-1], False
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = close.end() if close else len(source)
+            at = raw_end(source, at, tag, m[3], page.tags[stack[-1]])
             text.append(" ")
             continue
         if tag in INLINE:
@@ -133,7 +148,7 @@ def parse(source: str) -> Page:
     return page
 
 
-HASHED = 8
+HASHED = 24
 
 
 def attribute_features(attrs: str) -> np.ndarray:
@@ -147,7 +162,7 @@ def attribute_features(attrs: str) -> np.ndarray:
                 if group is not None:
                     out[group] = 1
                 else:
-                    out[len(WORDS) + sum(w.encode()) % HASHED] = 1
+                    out[len(WORDS) + zlib.crc32(w.encode()) % HASHED] = 1
             if m[1].lower() == "hidden":
                 out[7] = 1
     return out
@@ -324,7 +339,11 @@ def made_page(rng: random.Random) -> tuple[str, set[str]]:
             parts.append("<ul>" + "".join(f"<li>{own(prose(1, 3))}</li>" for _ in range(rng.randrange(2, 5))) + "</ul>")
         elif kind < 0.92:
             parts.append(f"<blockquote>{own(prose(1, 4))}</blockquote>")
-        elif kind < 0.95:
+        elif kind < 0.935:
+            parts.append(f"<details><summary>{own(title())}</summary><p>{own(prose(1, 4))}</p></details>")
+        elif kind < 0.945:
+            parts.append(f"<figure><img src=/{word()}.png><figcaption>{own(prose(1, 2))}</figcaption></figure>")
+        elif kind < 0.965:
             parts.append(f"<table><tr><td>{own(prose(1, 2))}</td><td>{own(prose(1, 2))}</td></tr></table>")
         else:
             parts.append(junk())
@@ -335,7 +354,7 @@ def made_page(rng: random.Random) -> tuple[str, set[str]]:
     inside = head + (menu() if chance(0.85) else "") + junk_some(0.2) + open_ + body + close + junk_some(0.25) + foot
     if chance(0.3):
         inside = f"<div{pick('', named('page'), named('wrapper'))}>{inside}</div>"
-    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{word()}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>{inside}' + pick("</body></html>", ""), main
+    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{word()}</title>{pick("", f"<style>.{word()}{{color:red}}</style>")}{pick("", f"<script>{word()}()</script>", f"<script>if(1<2){{{word()}()}}</script>")}</head><body>{inside}' + pick("</body></html>", ""), main
 
 
 _TRAINED: dict[tuple[int, int], Trees] = {}
@@ -399,7 +418,8 @@ def main_texts(sources: list[str], model: Trees) -> list[str]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Trees | None = None) -> DataFrame:
     """One row per row of pages: the id, url, text of the main content (empty if none), n_chars (its code points).
 
-    Null or empty pages have an empty text. Ids and urls may be null or repeated; other columns don't matter.
+    Null or empty pages have an empty text. Ids and urls may be null or repeated; other columns don't matter. An empty table gives an empty
+    result. Raw elements (scripts, frames, drawings) count for nothing; one that never ends costs the rest of its parent at most.
     """
     shipped = pages.sparkSession.sparkContext.broadcast(model or trained())  # some thousand numbers
 

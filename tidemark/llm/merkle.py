@@ -3,8 +3,9 @@
 A paragraph is what lies between newlines; a section is a run of paragraphs that ends after an empty one, or where the last
 paragraph's digest says so, so that an insertion moves only the section it is in. The root is the digest of the sections'
 digests, theirs of the paragraphs': texts are equal if their roots are. Under a paragraph, phrases of about four words, ended
-where a word's hash says so, locate edits inside it. A fingerprint holds the root and a bottom-k sketch of all nodes' hashes, so
-that its size is bounded; two fingerprints' likeness is the Jaccard similarity of the trees' nodes.
+where a word's hash says so, are the leaves. A fingerprint holds the tree down to the paragraphs, with digests cut short below the
+root, and a bottom-k sketch of all nodes' hashes, the leaves included. So fingerprints alone tell equality (roots), the paragraphs in which two
+texts differ (branches), and their likeness, the Jaccard similarity of the trees' nodes.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ def _sections(text: bytes) -> tuple[bytes, list[tuple[bytes, list[bytes]]]]:
 
 
 def fingerprints(texts: list[str]) -> list[str]:
-    """root:nodes:sketch of each text, in hexadecimal; nodes is the number of distinct node hashes."""
+    """root:nodes:sketch:branches of each text, in hexadecimal. nodes is the number of distinct node hashes; branches has, for each section, its
+    digest, cut to 64 bits, and those of its paragraphs, cut to 32."""
     out = []
     for i, j, data, offsets in chunks(pa.array(texts, pa.string())):
         value, owner = _phrases(data, offsets)
@@ -69,14 +71,15 @@ def fingerprints(texts: list[str]) -> list[str]:
             root, sections = _sections(raw[offsets[k] : offsets[k + 1]])
             own = np.concatenate([value[edges[k] : edges[k + 1]], np.array([int.from_bytes(s[:4], "big") for s, _ in sections], np.uint32)])
             own = np.unique(own)
-            out.append(f"{root.hex()[:32]}:{len(own)}:{own[:SKETCH].astype('>u4').tobytes().hex()}")
+            branches = ";".join(s.hex()[:16] + "=" + b"".join([p[:4] for p in held]).hex() for s, held in sections)
+            out.append(f"{root.hex()}:{len(own)}:{own[:SKETCH].astype('>u4').tobytes().hex()}:{branches}")
     return out
 
 
 def likeness(a: str, b: str) -> float:
-    """Jaccard similarity of the trees' nodes, from 0 to 1, as far as the sketches tell; 1 for equal roots."""
-    root_a, n_a, sketch_a = a.split(":")
-    root_b, n_b, sketch_b = b.split(":")
+    """Jaccard similarity of the trees' nodes, from 0 to 1: exact up to SKETCH nodes, estimated by the least SKETCH of the union above; 1 for equal roots."""
+    root_a, n_a, sketch_a, _ = a.split(":")
+    root_b, n_b, sketch_b, _ = b.split(":")
     if root_a == root_b:
         return 1.0
     one, two = (np.frombuffer(bytes.fromhex(s), ">u4") for s in (sketch_a, sketch_b))
@@ -88,14 +91,15 @@ def likeness(a: str, b: str) -> float:
 
 
 def differing(a: str, b: str) -> tuple[list[int], list[int]]:
-    """Numbers of the paragraphs of either text whose branch isn't in the other's tree; equal sections aren't descended into."""
-    (root_a, one), (root_b, two) = _sections(a.encode()), _sections(b.encode())
+    """From two fingerprints, the numbers of the paragraphs of either text whose branch isn't in the other's tree. Equal sections aren't descended into."""
+    (root_a, *_, one), (root_b, *_, two) = a.split(":"), b.split(":")
     if root_a == root_b:
         return [], []
+    trees = [[(s[:16], [s[k : k + 8] for k in range(17, len(s), 8)]) for s in x.split(";")] for x in (one, two)]
     out = []
-    for own, other in ((one, two), (two, one)):
+    for own, other in (trees, trees[::-1]):
         sections = {s for s, _ in other}
-        leaves = {p for s, ps in other for p in ps}
+        leaves = {p for _, ps in other for p in ps}
         found, at = [], 0
         for s, ps in own:
             if s not in sections:
@@ -137,8 +141,9 @@ def _edit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(new, pa.string()),
             pa.array([likeness(a, b) for a, b in zip(own, new)], pa.float64()),
             pa.array([likeness(a, b) for a, b in zip(own, own[1:])], pa.float64()),
+            pa.array([min((x for x in differing(a, b)[0]), default=None) for a, b in zip(own, new)], pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        return pa.RecordBatch.from_arrays(columns, names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "first_differing"])
 
     for batch in batches:
         for doc, text, tail in zip(*(batch.column(k) for k in range(3)), strict=True):
@@ -157,8 +162,8 @@ def _edit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edit_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of an edited text, whose last quarter (floor) is replaced by the next document's start.
 
-    One row per row of documents: the id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Next is by
-    ascending id, null ids first, equal ids by text; after the last comes the first. Null texts are empty; a single
+    One row per row of documents: the id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    first_differing (the first paragraph whose branch the edited text's tree hasn't, null if it has all). Next is by ascending id, null ids first, equal ids by text; after the last comes the first. Null texts are empty; a single
     document follows itself; other columns don't matter; an empty table gives an empty result. Texts move once, to ranges of ids;
     the first row of a range also goes to the range before it.
     """
@@ -176,7 +181,7 @@ def edit_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     heads = np.array([r["low"] for r in least], np.int64)
     n = len(heads)
     if not n:
-        schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, first_differing long"
         return spark.createDataFrame([], schema)
 
     @F.pandas_udf("array<int>")
@@ -187,5 +192,5 @@ def edit_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     dealt = slim.withColumn("at", F.explode(places("id"))).select("id", "text", (F.col("at") >= n).alias("tail"), (F.col("at") % n).alias("p"))
     ordered = dealt.repartitionById(n, F.col("p")).sortWithinPartitions("tail", "id", F.coalesce("text", F.lit("")))
-    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, first_differing long"
     return ordered.select("id", "text", "tail").mapInArrow(_edit_rows, schema).withColumnRenamed("id", id_col)

@@ -10,9 +10,10 @@ keys. Candidates are confirmed on the words of the whole texts, in three steps:
 
 1. Every class with the least one of its buckets.
 2. In buckets whose members are still in different components, every member with further centres, the least by other orders.
-3. In buckets still open, the pairs that bounds can't exclude. A link needs shingles that both documents have, so a shingle held
-   by one component only counts for nothing: members are dropped as long as those left to them are fewer than the threshold asks
-   for, and what remains is counted by ranges of the shingles' hashes. Two members meet only if the sum over ranges of the
+3. In buckets still open, the pairs that bounds can't exclude. A link needs minhashes and shingles that both documents have, so those held
+   by one component only count for nothing: members are dropped as long as the minhashes left to them, then the shingles, are fewer than
+   the threshold asks for (of minhashes, fewer than a pair at the threshold shares but with a chance of MISSED), and the shingles that
+   remain are counted by ranges of their hashes. Two members meet only if the sum over ranges of the
    lesser counts allows the threshold; each pair in the first table it shares only. Bounds exclude no link.
 
 Steps 1 and 2 make a number of pairs in proportion to the rows. So does step 3 on rewrites of one text that differ by own words; what it
@@ -43,7 +44,8 @@ NIBBLES = 32
 MISSED = 1e-5
 CENTRES = 12
 RANGES = 16
-PEELS = 3
+MINHASH_PEELS = 2
+SHINGLE_PEELS = 3
 
 
 def allowed(percent: int, marks: int) -> int:
@@ -56,6 +58,16 @@ def allowed(percent: int, marks: int) -> int:
     return marks
 
 
+def needed(percent: int, minhashes: int) -> int:
+    """The number of equal minhashes that a pair at the threshold falls short of with a chance of MISSED at most."""
+    share, below = percent / 100, 0.0
+    for k in range(minhashes + 1):
+        below += math.comb(minhashes, k) * share**k * (1 - share) ** (minhashes - k)
+        if below > MISSED:
+            return k
+    return minhashes
+
+
 def word_digest(raw: bytes) -> bytes:
     """A cryptographic digest, of 128 bits, of the words of a text without the case of A-Z."""
     return hashlib.blake2b(b" ".join(raw.lower().split()), digest_size=16).digest()
@@ -70,6 +82,8 @@ def _signatures(width: int, tables: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 2 * tables * rows
         flip, odd = stream(31, total), stream(32, total) | U64(1)
+        bits = 64 // rows
+        mask = U64((1 << bits) - 1)
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, offsets in chunks(batch.column(1)):
@@ -79,7 +93,7 @@ def _signatures(width: int, tables: int, rows: int):
                 marks = np.zeros((2, j - i), U64)
                 for k in range(total):
                     least = per_text(np.minimum, (sets ^ flip[k]) * odd[k], count)
-                    groups[:, k // rows] = splitmix(groups[:, k // rows] + least + U64(k))
+                    groups[:, k // rows] |= (splitmix(least) & mask) << U64(bits * (k % rows))
                     if k < NIBBLES:
                         marks[k // 16, some] |= ((least >> U64(20)) & U64(15)) << U64(4 * (k % 16))
                 digest = _digests(data, offsets)
@@ -97,7 +111,7 @@ def _signatures(width: int, tables: int, rows: int):
 
 def signatures(documents: DataFrame, id_col: str, text_col: str, width: int = 5, tables: int = 12, rows: int = 2) -> DataFrame:
     """One row per document: id, n (size of its shingle set), s1 and s2 (digest of its words, null without words), x1 and x2 (four bits
-    of each minhash), groups (2 * tables)."""
+    of each minhash), groups (2 * tables, each of rows minhashes side by side)."""
     slim = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(_signatures(width, tables, rows), SIGNATURE)
 
@@ -152,21 +166,44 @@ def _sets(width: int):
     return run
 
 
-def _bounded(members: DataFrame, documents: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
-    """members (rep, s, c, n) that may still link with a member of another component c, with f0 .. f15: how many of their shingles other
-    components have too, by range of the hash. Shingles are counted by hash, so a collision only loosens the bound."""
+def _peel(rows: DataFrame, least: DataFrame | int) -> tuple[DataFrame, DataFrame]:
+    """One round: of rows (m, c, h), those whose h members of other components c have too, and the members m left with as many as least says."""
+    rows = rows.repartition("h")
+    foreign = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("h")
+    rows = rows.join(foreign, "h", "left_semi")
+    count = rows.groupBy("m").agg(F.count(F.lit(1)).alias("left"))
+    if isinstance(least, int):
+        return rows, count.filter(F.col("left") >= least).select("m")
+    return rows, count.join(least, "m").filter(F.col("left") >= F.col("least")).select("m")
+
+
+def _bounded(members: DataFrame, documents: DataFrame, id_col: str, text_col: str, percent: int, width: int, rows: int) -> DataFrame:
+    """rep, s and c of the members (rep, s, c, n, groups) that may still link with a member of another component c, with f0 .. f15: how many of their
+    shingles other components have too, by range of the hash. Everything is counted by hash, so a collision only loosens the bound."""
+    members = cut(members.withColumn("m", F.xxhash64("rep", "s")))
+    bits = 64 // rows
+    each = [F.shiftrightunsigned("group", bits * k).bitwiseAND(F.lit((1 << bits) - 1)) if rows > 1 else F.col("group") for k in range(rows)]
+    spread = members.select("m", "c", F.posexplode("groups").alias("at", "group"))
+    total = spread.select("m", "c", "at", F.posexplode(F.array(*each)).alias("place", "value")).select("m", "c", F.xxhash64("at", "place", "value").alias("h"))
+    least = needed(percent, rows * members.select(F.max(F.size("groups"))).first()[0]) if members.take(1) else 0
+    for _ in range(MINHASH_PEELS):
+        total, left = _peel(total, least)
+        left = cut(left)
+        total = total.join(left, "m", "left_semi")
+    members = members.join(left, "m", "left_semi").drop("groups")
+    need = members.groupBy("m").agg(F.min(F.ceil(F.col("n") * percent / 100)).alias("least"))
+
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wanted = texts.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    spread = wanted.mapInArrow(_sets(width), "rep long, s long, sets array<long>").join(members, ["rep", "s"])
-    rows = spread.select("rep", "s", "c", "n", F.explode("sets").alias("h")).distinct()
+    sets = wanted.mapInArrow(_sets(width), "rep long, s long, sets array<long>").join(members, ["rep", "s"])
+    shingles = sets.select("m", "c", F.explode("sets").alias("h"))
+    for k in range(SHINGLE_PEELS):
+        shingles, left = _peel(shingles, need)
+        if k < SHINGLE_PEELS - 1:
+            shingles = cut(shingles.join(left, "m", "left_semi"))
     parts = [F.count_if(F.shiftrightunsigned("h", 60) == k).alias(f"f{k}") for k in range(RANGES)]
-    for k in range(PEELS):
-        foreign = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("h")
-        rows = rows.join(foreign, "h", "left_semi")
-        left = rows.groupBy("rep", "s", "c", "n").agg(F.count(F.lit(1)).alias("left"), *(parts if k == PEELS - 1 else [])).filter(F.col("left") * 100 >= F.col("n") * percent)
-        if k < PEELS - 1:
-            rows = cut(rows.join(left.select("rep", "s"), ["rep", "s"], "left_semi"))
-    return cut(left.drop("left"))
+    counts = shingles.join(left, "m", "left_semi").groupBy("m").agg(*parts)
+    return cut(members.join(counts, "m").drop("m"))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, tables: int = 12, rows: int = 2) -> DataFrame:
@@ -240,14 +277,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         found = components(found.select(F.col("component_id").alias("a"), F.col("id").alias("b")).union(linked))
         open_ = still_open(open_.drop("c"), found)
     tried = tried.union(near)
-    near_ones = _bounded(open_.select("rep", "s", "c").distinct().join(heads.select("rep", "s", "n"), ["rep", "s"]), documents, id_col, text_col, percent, width)
-    parts = [F.shiftrightunsigned(F.col("groups")[2 * k], 32).bitwiseXOR(F.col("groups")[2 * k + 1].bitwiseAND(F.lit(-1 << 32))).alias(f"g{k}") for k in range(tables)]
+    near_ones = _bounded(open_.select("rep", "s", "c").distinct().join(heads.select("rep", "s", "n", "groups"), ["rep", "s"]), documents, id_col, text_col, percent, width, rows)
+    half = [F.xxhash64(F.col("groups")[k]) for k in range(2 * tables)]
+    parts = [F.shiftrightunsigned(half[2 * k], 32).bitwiseXOR(half[2 * k + 1].bitwiseAND(F.lit(-1 << 32))).alias(f"g{k}") for k in range(tables)]
     marked = open_.drop("c").join(near_ones, ["rep", "s"]).join(heads.select("rep", "s", "x1", "x2", *parts), ["rep", "s"]).drop("s")
     # the groups before the two of the row's table, by the top bit of their halves: a pair that shares one of them meets in an earlier table
     one, two = F.shiftright("at", 8), F.col("at").bitwiseAND(F.lit(255))
     earlier = [F.lit(g) < (one if g < tables else two) for g in range(2 * tables)]
     masks = [F.when(earlier[2 * k], F.lit(1 << 31)).otherwise(F.lit(0)).bitwiseOR(F.when(earlier[2 * k + 1], F.lit(-(1 << 63))).otherwise(F.lit(0))).alias(f"e{k}") for k in range(tables)]
-    marked = marked.select("*", *masks).drop("at")
+    # columns that can't be null keep the code of the join's condition small enough to be compiled
+    plain = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in marked.columns if c != "at"]
+    marked = marked.select(*plain, *masks)
     left, right = (marked.select("key", *[F.col(c).alias(f"{c}_{i}") for c in marked.columns if c != "key" and not (c[0] == "e" and i == "2")]) for i in ("1", "2"))
 
     def shared(k: int) -> Column:

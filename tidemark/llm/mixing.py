@@ -5,9 +5,9 @@ epochs of its source, and the excess is shared again by weight. A source gives i
 often as fits. The rest is filled from its documents by ascending exponential key, -ln(u) / quality weight, until the sum of
 sizes comes nearest to the budget; u is a hash of id and text, so reruns agree.
 
-Nothing sorts a source: keys fall into buckets of about BUCKET documents, whose sums are added up; only the bucket that holds
-a source's edge is ordered. Texts are scanned once for a small row each; the result is a threshold for each source, applied
-without moving texts.
+Nothing sorts a source: its keys are cut at measured quantiles into PARTS ranges, whose sums are added up, and the range that holds
+the edge is cut again until it has BUCKET keys at most; only these are ordered. Equal keys, those of equal rows, are one key with a number of
+rows. Texts are scanned once for a small row each; the result is a threshold for each source, applied without moving texts.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from .kernels import chunks, int64, words
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 BUCKET = 2000
+PARTS = 64
 WEIGHTS = (3, 1, 2)
 
 
@@ -71,40 +72,53 @@ def targets(sizes: DataFrame, share: float, epochs: float, weights: tuple[int, .
     return level.select("source", "source_size", F.round(F.least("cap", F.coalesce(F.col("rate") * F.col("w"), F.col("cap"))), 6).alias("target"))
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
 def plan(rows: DataFrame, share: float, epochs: float) -> DataFrame:
-    """One row per source: source, source_size, target, rounds (complete epochs), edge (the last key of the fraction, null: none).
+    """One row per source with words: source, source_size, target, rounds (complete epochs), edge (the last key of the fraction, null: none),
+    open (the edge itself is left out), copies (how many rows of the edge's key are taken), all_copies (whether that is all of them).
 
-    rows: id, source, size, es. Rows with one id and text have one key and are taken or left together.
+    rows: id, source, size, es. Every source has its place in the order of weights, with words or without.
+    """
+    stats = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    goal = targets(stats, share, epochs).filter("source_size > 0")
+    goal = cut(goal.withColumn("rounds", F.floor(F.col("target") / F.col("source_size")).cast("long")).withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size")))
+    keys = rows.filter("size > 0").groupBy("source", "es").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    live = keys.join(goal.select(F.col("source").alias("s2"), "budget"), _same("source", "s2")).drop("s2").withColumn("base", F.lit(0.0)).filter("budget > 0")
+    live = cut(live)
+    while live.groupBy("source").count().filter(F.col("count") > BUCKET).take(1):
+        # PARTS ranges of about as many keys; the window orders one row for each range of a source
+        cuts = live.groupBy(F.col("source").alias("s2")).agg(F.percentile_approx("es", [k / PARTS for k in range(1, PARTS)], 100 * PARTS).alias("cuts"))
+        ranged = live.join(cuts, _same("source", "s2")).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("es")))).drop("s2", "cuts")
+        sums = ranged.groupBy("source", "part", "base", "budget").agg(F.sum("size").alias("words"))
+        sums = sums.withColumn("upto", F.col("base") + F.sum("words").over(W.partitionBy("source").orderBy("part")))
+        edges = sums.filter((F.col("upto") >= F.col("budget")) & (F.col("upto") - F.col("words") < F.col("budget")))
+        edges = edges.select(F.col("source").alias("s3"), F.col("part").alias("p3"), (F.col("upto") - F.col("words")).cast("double").alias("b3"))
+        live = cut(ranged.join(edges, _same("source", "s3") & (F.col("part") == F.col("p3"))).select("source", "es", "size", "n", "budget", F.col("b3").alias("base")))
+    placed = live.withColumn("start", F.col("base") + F.sum("size").over(W.partitionBy("source").orderBy("es")) - F.col("size"))
+    fits = F.least(F.col("n"), F.floor((F.col("budget") - F.col("start")) / (F.col("size") / F.col("n")) + F.lit(0.5)).cast("long"))
+    last = placed.withColumn("copies", fits).groupBy("source").agg(F.max(F.when(F.col("copies") >= 1, F.struct("es", "copies", "n"))).alias("last"), F.min("es").alias("low"))
+    last = last.select(F.col("source").alias("s4"), F.coalesce("last.es", "low").alias("edge"), F.col("last").isNull().alias("open"), F.col("last.copies").alias("copies"), (F.col("last.copies") == F.col("last.n")).alias("all_copies"))
+    out = goal.join(last, _same("source", "s4"), "left")
+    return cut(out.select("source", "source_size", "target", "rounds", "edge", F.coalesce("open", F.lit(False)).alias("open"), "copies", F.coalesce("all_copies", F.lit(True)).alias("all_copies")))
+
+
+def _times(rows: DataFrame, chosen: DataFrame, epochs: float, order: list[str]) -> DataFrame:
+    """rows with their source's size and target, and times, how often each is taken. chosen is the plan, a row for each source.
+
+    Rows that share the key of an edge that takes some of them only, equal in id and text, are taken in the order given.
     """
-    rows = rows.filter("size > 0")
-    stats = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"), F.max("es").alias("top")))
-    goal = targets(stats.select("source", "source_size"), share, epochs)
-    goal = goal.withColumn("rounds", F.floor(F.col("target") / F.col("source_size")).cast("long")).withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size"))
-    goal = cut(goal.join(stats.select(F.col("source").alias("s2"), "docs"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
-    # keys of a source are near exponential, so exp(-key) spreads them evenly enough over buckets
-    known = rows.join(goal.select(F.col("source").alias("s2"), "docs", "budget"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    bucketed = known.withColumn("bucket", F.floor((1 - F.exp(-F.col("es"))) * F.ceil(F.col("docs") / BUCKET)).cast("long"))
-    sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    run = W.partitionBy("source").orderBy("bucket")
-    sums = sums.withColumn("upto", F.sum("words").over(run)).withColumn("base", F.col("upto") - F.col("words"))
-    edges = sums.join(goal.select(F.col("source").alias("s2"), "budget"), F.col("source").eqNullSafe(F.col("s2"))).filter("base < budget and budget <= upto")
-    edges = edges.select(F.col("source").alias("s3"), F.col("bucket").alias("b3"), "base")
-    inside = bucketed.join(edges, F.col("source").eqNullSafe(F.col("s3")) & (F.col("bucket") == F.col("b3"))).groupBy("source", "es", "base", "budget").agg(F.sum("size").alias("size"))
-    within = W.partitionBy("source").orderBy("es")
-    placed = inside.withColumn("end", F.col("base") + F.sum("size").over(within))
-    nearest = placed.filter(F.col("end") - F.col("size") / 2 <= F.col("budget")).groupBy("source").agg(F.max("es").alias("edge"))
-    low = inside.groupBy("source").agg(F.min("es").alias("low"))  # the bucket's first key: without a nearer one, all below it
-    found = low.select(F.col("source").alias("s4"), "low").join(nearest, F.col("s4").eqNullSafe(F.col("source")), "left")
-    found = found.select("s4", F.coalesce(F.col("edge"), -F.abs(F.col("low"))).alias("edge"), F.col("edge").isNull().alias("below"), "low")
-    out = goal.join(found, F.col("source").eqNullSafe(F.col("s4")), "left")
-    return cut(out.select("source", "source_size", "target", "rounds", F.when(F.col("below"), F.col("low")).otherwise(F.col("edge")).alias("edge"), F.coalesce("below", F.lit(False)).alias("open")))
-
-
-def _times(rows: DataFrame, chosen: DataFrame, epochs: float) -> DataFrame:
-    """rows with their source's size and target, and times, how often each is taken. chosen is the plan, a row for each source."""
-    out = rows.join(chosen.select(F.col("source").alias("s2"), "source_size", "target", "rounds", "edge", "open"), F.col("source").eqNullSafe(F.col("s2")), "left")
+    out = rows.join(chosen.withColumnRenamed("source", "s2"), _same("source", "s2"), "left").drop("s2")
+    tied = F.coalesce(~F.col("all_copies") & ~F.col("open") & (F.col("es") == F.col("edge")) & (F.col("size") > 0), F.lit(False))
     extra = F.when(F.col("open"), F.col("es") < F.col("edge")).otherwise(F.col("es") <= F.col("edge"))
-    times = F.when(F.col("size") == 0, 0).otherwise(F.coalesce("rounds", F.lit(0)) + F.coalesce(extra.cast("int"), F.lit(0)))
+    if chosen.filter("not all_copies and not open").take(1):
+        ties = out.filter(tied).withColumn("taken_too", F.row_number().over(W.partitionBy("source", "es").orderBy(*order)) <= F.col("copies"))
+        out = out.filter(~tied).withColumn("taken_too", extra).unionByName(ties)
+    else:
+        out = out.withColumn("taken_too", extra)
+    times = F.when(F.col("size") == 0, 0).otherwise(F.coalesce("rounds", F.lit(0)) + F.coalesce(F.col("taken_too").cast("int"), F.lit(0)))
     return out.withColumn("times", F.least(times, F.lit(int(epochs))).cast("long"))
 
 
@@ -112,7 +126,7 @@ def repeat(documents: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """The rows of documents, all columns as they are, each as often as mix takes it."""
     rows = keyed(documents, id_col, source_col, text_col, weight, seed, F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     chosen = plan(cut(rows.select("id", "source", "size", "es")), share, epochs)
-    return _times(rows, chosen, epochs).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
+    return _times(rows.withColumn("hash", F.xxhash64("row")), chosen, epochs, ["hash"]).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", share: float = 1.5, epochs: float = 2, weight: Column | None = None, seed: int = 17) -> DataFrame:
@@ -120,11 +134,11 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
     size is the number of words of the whole text. Documents are taken whole, so a source comes within half a document of its
     target. Documents without words, null texts included, have size 0 and are never taken; a source with only such ones
-    has size and target 0. A null source is a source of its own, the last. The id may be null or repeated: rows with one id
-    and text have one key, and are taken or left together. An empty table gives an empty result.
+    has size and target 0, and its place in the order of weights. A null source is a source of its own, the last. The id may be null or
+    repeated: of rows with one id and text as many are taken as fit. An empty table gives an empty result.
     """
     rows = cut(keyed(documents, id_col, source_col, text_col, weight, seed))
-    out = _times(rows, plan(rows, share, epochs), epochs)
+    out = _times(rows, plan(rows, share, epochs), epochs, ["id"])
     return out.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", F.coalesce("source_size", F.lit(0)).alias("source_size"),
         F.coalesce("target", F.lit(0.0)).alias("target"), "times", (F.col("times") * F.col("size")).alias("taken"),

@@ -138,7 +138,11 @@ def fit(number: np.ndarray, count: np.ndarray, grade: np.ndarray, l1: float = 5e
 
 
 def rated(documents: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and grades of at most sample rated texts, those with the least hashes of their ids."""
+    """Features and grades of at most sample rated texts, those with the least hashes of their ids.
+
+    A null id or grade is no rating; of several ratings of one id the least counts. Rows with one id are all rated texts; a null text is
+    empty. Without ratings or documents there are no rows.
+    """
     picked = ratings.select(F.col(id_col).cast("long").alias("id"), grade.cast("int").alias("grade")).filter("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(sample)
 
@@ -158,9 +162,25 @@ def rated(documents: DataFrame, ratings: DataFrame, grade: Column, id_col: str =
 
 
 def train(documents: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Ordinal:
+    """A model of grade, an expression over ratings, fitted on at most sample rated texts; without any it knows grade 0 only."""
     return fit(*rated(documents, ratings, grade, id_col, text_col, sample))
 
 
+def expected_grade(model: Ordinal, documents: DataFrame, text: Column) -> Column:
+    """The expected grade as a column, for use beside other columns of documents."""
+    shipped = documents.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS numbers, whatever the data
+
+    @F.arrow_udf("double")
+    def grade(texts: pa.Array) -> pa.Array:
+        m = shipped.value
+        out = np.zeros(len(texts))
+        for i, j, data, offsets in chunks(texts):
+            out[i:j] = m.expected(m.tails(_score(m.weights, *features(data, offsets))))
+        return pa.array(np.round(out, 9))
+
+    return grade(text)
+
+
 def classify(documents: DataFrame, model: Ordinal, select_grade: int, select_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of documents: the id, expected_grade, tail (probability of select_grade or more), kept (tail >= select_at).
 

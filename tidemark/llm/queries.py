@@ -15,8 +15,9 @@ SELECT_GRADE = 2
 
 
 def grade() -> Column:
-    """0 if rated low, 1 if rated high but toxic, 2 if rated high and clean; selection asks for grade 2."""
-    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    """0 if rated low, 1 if rated high but toxic, 2 if rated high and clean; null, and so left out, without both ratings. Selection asks for grade 2."""
+    known = F.col("quality").isNotNull() & F.col("toxic").isNotNull()
+    return F.when(known & (F.col("quality") == 0), 0).when(known & (F.col("toxic") == 1), 1).when(known, 2)
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

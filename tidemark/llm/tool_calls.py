@@ -5,12 +5,15 @@ A message whose text is a JSON object with ``tool_calls`` (a list of {id, name,
 as exchanges: a user's turn is a call of the tool ``reply`` with the id conv:turn, the next turn, if the assistant's, its result.
 
 Calls and results meet in a hash join by (conversation, id). Order follows from depths: a result stands behind its call, a call
-behind the results it refers to; depths are found layer by layer, so no conversation is gathered in one task.
+behind the results it refers to. Depths are found layer by layer, and a call that waits for one other only takes over what that one
+waits for, so a chain of n references takes log2 n rounds. No conversation is gathered in one task.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -31,9 +34,37 @@ REPLY = {
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value: Any) -> str:
-    """Keys sorted by code point, no spaces, characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Keys sorted by code point, no spaces, characters as they are; lone surrogates, which UTF-8 can't hold, as escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _finite(number: str) -> float:
+    if not math.isfinite(float(number)):
+        raise ValueError(f"{number} is out of range")
+    return float(number)
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} isn't JSON")
+
+
+def load(text: str) -> Any:
+    """The value of a JSON text. ValueError if it is malformed, nested too deeply, or holds numbers that aren't finite."""
+    try:
+        value = json.loads(text, parse_float=_finite, parse_constant=_refuse)
+        canonical(value)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    return value
+
+
+def _plain(text: str) -> str:
+    """Lone surrogates replaced, for columns that hold text."""
+    return _LONE.sub("\ufffd", text)
 
 
 def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
@@ -67,14 +98,14 @@ def _references(value: Any) -> set[str]:
     while todo:
         x = todo.pop()
         if isinstance(x, str) and x.startswith("$ref:"):
-            found.add(x[5:])
+            found.add(_plain(x[5:]))
         elif isinstance(x, (dict, list)):
             todo += x.values() if isinstance(x, dict) else x
     return found
 
 
 def _text_of(value: Any) -> str | None:
-    return value if value is None or isinstance(value, str) else canonical(value)
+    return value if value is None else _plain(value) if isinstance(value, str) else canonical(value)
 
 
 def _events(conv: int | None, turn: int | None, role: str | None, text: str | None, exchanges: bool) -> Iterator[tuple]:
@@ -82,8 +113,8 @@ def _events(conv: int | None, turn: int | None, role: str | None, text: str | No
     spec = None
     if text and text.lstrip()[:1] == "{":
         try:
-            spec = json.loads(text)
-        except (ValueError, RecursionError):
+            spec = load(text)
+        except ValueError:
             spec = None
     calls = spec.get("tool_calls") if isinstance(spec, dict) else None
     if isinstance(calls, list) and calls and all(isinstance(c, dict) for c in calls):
@@ -91,8 +122,8 @@ def _events(conv: int | None, turn: int | None, role: str | None, text: str | No
             args = c.get("arguments", {})
             if isinstance(args, str):
                 try:
-                    args = json.loads(args)
-                except (ValueError, RecursionError):
+                    args = load(args)
+                except ValueError:
                     pass
             yield k, "call", _text_of(c.get("id")), _text_of(c.get("name")), canonical(args), sorted(_references(args)), None
     elif isinstance(spec, dict) and "tool_call_id" in spec:
@@ -105,14 +136,14 @@ def _events(conv: int | None, turn: int | None, role: str | None, text: str | No
         yield 0, "message", None, None, None, [], text
 
 
-_SCHEMA = "conv long, turn long, role string, part int, kind string, call_id string, name string, arguments string, refs array<string>, content string"
+_SCHEMA = "conv long, turn long, role string, row long, part int, kind string, call_id string, name string, arguments string, refs array<string>, content string"
 
 
 def _parse(exchanges: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c, t, r, *e) for c, t, r, x in zip(*(k.to_pylist() for k in batch.columns), strict=True) for e in _events(c, t, r, x, exchanges)]
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+            rows = [(c, t, r, n, *e) for c, t, r, x, n in zip(*(k.to_pylist() for k in batch.columns), strict=True) for e in _events(c, t, r, x, exchanges)]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
             names = [f.split()[0] for f in _SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
@@ -144,52 +175,65 @@ def _write(schemas: dict[str, dict]):
     return run
 
 
-def depths(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def depths(calls: DataFrame) -> DataFrame:
     """conv, call_id, depth, call_turn of each call: depth 0 without known references, else one more than the deepest; call_turn is the least turn that keeps order.
 
-    calls: conv, call_id, turn, refs, result_turn (null: none). Calls in or behind a circle of references have no row.
+    calls: conv, call_id, turn, refs, result_turn (null: none). Calls in or behind a circle of references have no row. A call's depth is
+    the greatest of a number and, for each call it waits for, that one's depth and a step; its turn likewise. So waits add up along a chain.
     """
-    node = calls.select("conv", "call_id", "turn")
-    ends = calls.select(F.col("conv").alias("c2"), F.col("call_id").alias("ref2"), F.coalesce("result_turn", "turn").alias("ref_end"))
-    edges = calls.select("conv", "call_id", "turn", F.explode("refs").alias("ref"))
-    edges = cut(edges.join(ends, (F.col("conv") == F.col("c2")) & (F.col("ref") == F.col("ref2"))).select("conv", "call_id", "turn", "ref", "ref_end"))
-    free = node.join(edges.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti")
-    done = free.select("conv", "call_id", F.lit(0).alias("depth"), F.col("turn").alias("call_turn"))
-    if not edges.take(1):
+    keys = ["conv", "call_id"]
+    ends = calls.select("conv", F.col("call_id").alias("ref"), F.coalesce("result_turn", "turn").alias("turn"))
+    wait = cut(calls.select(*keys, F.explode("refs").alias("ref")).join(ends, ["conv", "ref"]).select(*keys, "ref", F.lit(1).alias("step"), "turn").distinct())
+    node = calls.select(*keys, F.lit(0).alias("depth"), F.col("turn").alias("call_turn"))
+    done = node.join(wait.select(*keys).distinct(), keys, "left_anti")
+    if not wait.take(1):
         return done
-    done = cut(done)
-    for _ in range(max_rounds):
-        known = done.select(F.col("conv").alias("c2"), F.col("call_id").alias("ref2"), "depth", "call_turn")
-        joined = edges.join(done.select("conv", "call_id"), ["conv", "call_id"], "left_anti").join(known, (F.col("conv") == F.col("c2")) & (F.col("ref") == F.col("ref2")), "left")
-        ready = joined.groupBy("conv", "call_id").agg(F.count_if(F.col("ref2").isNull()).alias("open"), (F.max("depth") + 1).alias("depth"), F.greatest(F.max("turn"), F.max("call_turn"), F.max("ref_end")).alias("call_turn"))
-        new = cut(ready.filter("open = 0").select("conv", "call_id", "depth", "call_turn"))
+    done, node = cut(done), cut(node.join(wait.select(*keys).distinct(), keys, "left_semi"))
+    while True:
+        met = wait.join(done.select("conv", F.col("call_id").alias("ref"), F.col("depth").alias("d2"), F.col("call_turn").alias("t2")), ["conv", "ref"], "left")
+        met = met.select(*keys, F.when(F.col("d2").isNull(), F.col("ref")).alias("ref"), "step", "turn", "d2", "t2")
+        gained = met.groupBy(*keys).agg(F.count("ref").alias("open"), F.max(F.when(F.col("ref").isNull(), F.col("d2") + F.col("step"))).alias("d3"), F.max(F.when(F.col("ref").isNull(), F.greatest("turn", "t2"))).alias("t3"))
+        state = cut(node.join(gained, keys).select(*keys, F.greatest("depth", F.coalesce("d3", "depth")).alias("depth"), F.greatest("call_turn", F.coalesce("t3", "call_turn")).alias("call_turn"), "open"))
+        new = state.filter("open = 0").drop("open")
         if not new.take(1):
             return done
-        done = cut(done.union(new))
-    raise RuntimeError("chains of references are too long")
-
-
-def link(conversations: DataFrame, schemas: dict[str, dict] | None = None, exchanges: bool = True, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+        done, node = cut(done.union(new)), state.filter("open > 0")
+        wait = met.filter("ref is not null").select(*keys, "ref", "step", "turn")
+        # a call that waits for one other, which itself waits for one, waits for the latter
+        single = node.filter("open = 1").select(*keys)
+        hop = wait.join(node.filter("open = 1").select(*keys, "depth", "call_turn"), keys)
+        hop = hop.select("conv", F.col("call_id").alias("ref"), F.col("ref").alias("far"), F.col("step").alias("far_step"), F.greatest("turn", "call_turn").alias("far_turn"), F.col("depth").alias("far_depth"))
+        ahead = wait.join(single, keys, "left_semi").join(hop, ["conv", "ref"], "left")
+        ahead = cut(ahead.unionByName(wait.join(single, keys, "left_anti"), allowMissingColumns=True))
+        least = ahead.filter("far is not null").select(*keys, (F.col("step") + F.col("far_depth")).alias("d4"), F.greatest("turn", "far_turn").alias("t4"))
+        node = cut(node.join(least, keys, "left").select(*keys, F.greatest("depth", F.coalesce("d4", "depth")).alias("depth"), F.greatest("call_turn", F.coalesce("t4", "call_turn")).alias("call_turn")))
+        wait = ahead.select(*keys, F.coalesce("far", "ref").alias("ref"), (F.col("step") + F.coalesce("far_step", F.lit(0))).alias("step"), F.greatest("turn", F.coalesce("far_turn", "turn")).alias("turn"))
+
+
+def link(conversations: DataFrame, schemas: dict[str, dict] | None = None, exchanges: bool = True, stable: bool = True, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per event, a message or one of its calls: conv_id, turn, role, part, kind, call_id, name, linked, peer_turn, depth, order_turn, valid, error, json.
 
     Sorted by (conv_id, order_turn, depth, turn, part) a conversation is in topological order; depth is null in circles. linked: a call
     that has a result, a result that has a call; peer_turn is the first such result's, or the call's, turn. The first call with an id, by (turn,
-    part), has it; later ones and events with null ids stay unlinked. Null texts are empty messages; malformed JSON is text; null conversations link
-    with nothing. Other columns don't matter. An empty table gives an empty result.
+    part), has it, of repeated rows one; later ones and events with null ids stay unlinked. Null texts are empty messages; malformed JSON, numbers that
+    aren't finite included, is text; lone surrogates stay escapes in JSON and are replaced in ids and names; null conversations link with nothing.
+    Other columns don't matter. An empty table gives an empty result. The input is read more than once: stable=False writes one that isn't a table
+    to the checkpoint folder first.
     """
-    slim = conversations.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    slim = conversations.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    slim = slim if stable else cut(slim)
     events = slim.mapInArrow(_parse(exchanges), _SCHEMA)
     named = events.filter("conv is not null and call_id is not null")
-    first = named.filter("kind = 'call'").groupBy("conv", "call_id").agg(F.min_by(F.struct("turn", "part", "refs"), F.struct("turn", "part")).alias("f"))
+    first = named.filter("kind = 'call'").groupBy("conv", "call_id").agg(F.min_by(F.struct("turn", "part", "row", "refs"), F.struct("turn", "part", "row")).alias("f"))
     keys = ["conv", "call_id"]
     results = named.filter("kind = 'result'").groupBy(*keys).agg(F.min("turn").alias("result_turn"))
-    calls = first.select(*keys, F.col("f.turn").alias("turn"), F.col("f.part").alias("part"), F.col("f.refs").alias("refs"))
+    calls = first.select(*keys, F.col("f.turn").alias("turn"), F.col("f.part").alias("part"), F.col("f.row").alias("row"), F.col("f.refs").alias("refs"))
     calls = cut(calls.join(results, keys, "left"))
     placed = depths(calls)
-    known = calls.select(*keys, F.col("turn").alias("own_turn"), F.col("part").alias("own_part"), "result_turn").join(placed, keys, "left")
+    known = calls.select(*keys, F.col("turn").alias("own_turn"), F.col("part").alias("own_part"), F.col("row").alias("own_row"), "result_turn").join(placed, keys, "left")
     joined = events.join(known, keys, "left")
     call, result = F.col("kind") == "call", F.col("kind") == "result"
-    owner = call & F.col("own_turn").eqNullSafe(F.col("turn")) & F.col("own_part").eqNullSafe(F.col("part"))
+    owner = call & F.col("own_row").eqNullSafe(F.col("row")) & F.col("own_part").eqNullSafe(F.col("part"))
     has = F.when(call, owner & F.col("result_turn").isNotNull()).when(result, F.col("own_part").isNotNull()).otherwise(F.lit(False))
     out = joined.select(
         "conv", "turn", "role", "part", "kind", "call_id", "name",
