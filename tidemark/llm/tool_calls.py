@@ -181,10 +181,10 @@ def depths(calls: DataFrame) -> DataFrame:
     calls: conv, call_id, turn, refs, result_turn (null: none). Calls in or behind a circle of references have no row. A call's depth is
     the greatest of a number and, for each call it waits for, that one's depth and a step; its turn likewise. So waits add up along a chain.
     """
-    keys = ["conv", "call_id"]
+    keys, far = ["conv", "call_id"], F.lit(1 << 40)  # steps around a circle add up without end
     ends = calls.select("conv", F.col("call_id").alias("ref"), F.coalesce("result_turn", "turn").alias("turn"))
-    wait = cut(calls.select(*keys, F.explode("refs").alias("ref")).join(ends, ["conv", "ref"]).select(*keys, "ref", F.lit(1).alias("step"), "turn").distinct())
-    node = calls.select(*keys, F.lit(0).alias("depth"), F.col("turn").alias("call_turn"))
+    wait = cut(calls.select(*keys, F.explode("refs").alias("ref")).join(ends, ["conv", "ref"]).select(*keys, "ref", F.lit(1).cast("long").alias("step"), "turn").distinct())
+    node = calls.select(*keys, F.lit(0).cast("long").alias("depth"), F.col("turn").alias("call_turn"))
     done = node.join(wait.select(*keys).distinct(), keys, "left_anti")
     if not wait.take(1):
         return done
@@ -205,9 +205,9 @@ def depths(calls: DataFrame) -> DataFrame:
         hop = hop.select("conv", F.col("call_id").alias("ref"), F.col("ref").alias("far"), F.col("step").alias("far_step"), F.greatest("turn", "call_turn").alias("far_turn"), F.col("depth").alias("far_depth"))
         ahead = wait.join(single, keys, "left_semi").join(hop, ["conv", "ref"], "left")
         ahead = cut(ahead.unionByName(wait.join(single, keys, "left_anti"), allowMissingColumns=True))
-        least = ahead.filter("far is not null").select(*keys, (F.col("step") + F.col("far_depth")).alias("d4"), F.greatest("turn", "far_turn").alias("t4"))
+        least = ahead.filter("far is not null").select(*keys, F.least(F.col("step") + F.col("far_depth"), far).alias("d4"), F.greatest("turn", "far_turn").alias("t4"))
         node = cut(node.join(least, keys, "left").select(*keys, F.greatest("depth", F.coalesce("d4", "depth")).alias("depth"), F.greatest("call_turn", F.coalesce("t4", "call_turn")).alias("call_turn")))
-        wait = ahead.select(*keys, F.coalesce("far", "ref").alias("ref"), (F.col("step") + F.coalesce("far_step", F.lit(0))).alias("step"), F.greatest("turn", F.coalesce("far_turn", "turn")).alias("turn"))
+        wait = ahead.select(*keys, F.coalesce("far", "ref").alias("ref"), F.least(F.col("step") + F.coalesce("far_step", F.lit(0)), far).alias("step"), F.greatest("turn", F.coalesce("far_turn", "turn")).alias("turn"))
 
 
 def link(conversations: DataFrame, schemas: dict[str, dict] | None = None, exchanges: bool = True, stable: bool = True, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
