@@ -147,9 +147,11 @@ def _confirm(percent: int, width: int):
 def confirm(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: str, percent: int = 75, width: int = 5) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts' shingle sets have 100 * intersection >= percent * union, the words themselves compared.
 
-    Both joins use one exchange of the texts that pairs ask for; a side with many pairs is split by the adaptive skew join.
+    Only the texts that pairs ask for move: Spark sends their ids to the scan where it knows them to be few, else by hash. Both joins
+    then use one exchange; a side with many pairs is split by the adaptive skew join.
     """
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
     first = pairs.hint("merge").join(texts.hint("merge"), F.col("b") == F.col("id")).select("a", "b", F.col("text").alias("text_b"))
     both = first.hint("merge").join(texts.hint("merge"), F.col("a") == F.col("id"))
     return both.select("a", "b", F.col("text").alias("text_a"), "text_b").mapInArrow(_confirm(percent, width), "a long, b long")
@@ -224,12 +226,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     heads = sized.join(classes, ["s1", "s2"]).filter("id = rep").dropDuplicates(["rep", "s1", "s2"]).withColumnRenamed("s1", "s").drop("id", "s2")
     heads = cut(heads)
-    keyed = heads.select("rep", "s", F.posexplode("groups").alias("at", "group"))
+    keyed = heads.select("rep", "s", F.posexplode("groups").alias("at", "group")).repartition("at", "group")
     shared = keyed.groupBy("at", "group").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low < high").select("at", "group")
     live = keyed.join(shared, ["at", "group"], "left_semi")
     sides = live.groupBy("rep", "s").agg(*[F.collect_list(F.when(c, F.struct("at", "group"))).alias(x) for x, c in (("one", F.col("at") < tables), ("two", F.col("at") >= tables))])
     every = sides.select("rep", "s", F.explode("one").alias("k1"), "two").select("rep", "s", "k1", F.explode("two").alias("k2"))
-    every = every.select(F.xxhash64("k1.at", "k1.group", "k2.at", "k2.group").alias("key"), (F.col("k1.at") * 256 + F.col("k2.at")).alias("at"), "rep", "s")
+    every = every.select(F.xxhash64("k1.at", "k1.group", "k2.at", "k2.group").alias("key"), (F.col("k1.at") * 256 + F.col("k2.at")).alias("at"), "rep", "s").repartition("key")
     multi = every.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low < high").select("key")
     tensor = cut(every.join(multi, "key", "left_semi"))
 
