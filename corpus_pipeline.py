@@ -37,8 +37,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat every document as often as the mix takes it; those not taken go."""
-    return mixing.repeat(docs).select(COLUMNS)
+    """Repeat every document as often as the mix takes it; those not taken go. Its weight is the grade the classifier expects of it."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), grade())
+    return mixing.repeat(docs, weight=quality.expected_grade(model, docs, F.col("text"))).select(COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
