@@ -5,20 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns of the text functions.
+#: The patterns and word lists that decide the results of the text functions.
 WORD = r"([a-z][a-z']+)"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 URL = r"https?://[^\s\"'<>)\]]+"
-PHONE = r"\+?\d[\d ().-]{7,}\d"
-IPV4 = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
-KEY = r"\b(?:sk|pk|ghp|xox[bp]|AKIA)[-_A-Za-z0-9]{12,}\b"
-CLAIM = r"\b(?:fixed|done|completed|verified|tested|works now|passing|resolved|deployed|merged|finished)\b"
-FIRST_PERSON = r"\b(?:i|we|i've|we've|i'm|my|our)\b"
-DOUBT = r"\b(?:maybe|might|unclear|not sure|unsure|probably|seems|perhaps)\b"
-CORRECTION = r"\b(?:actually|correction|i was wrong|mistaken|scratch that|turns out)\b"
-ABSENT = r"\b(?:no such|not found|missing|does not exist|doesn't exist|404)\b"
-INTENT = r"\b(?:i will|i'll|going to|let me|plan to|next i)\b"
+EMAIL = r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
+PERSONAL_MAIL = r"(?i)@(gmail|googlemail|yahoo|hotmail|outlook|live|icloud|me|aol|gmx|proton(mail)?|pm)\."
+PHONE = r"(?<![\w.])(?:\+?\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w.])"
+CLAIM = r"(?i)\b(pushed|merged|deployed|fixed|verified|confirmed|published|is live|now live|went live|done|completed|committed|passed|tested|created|updated|added|resolved|submitted|opened|closed|approved|uploaded|installed|launched|shipped|working now|works now)\b|✅"
+FIRST_PERSON = r"\b(I|I've|I'd|I'm|I just|we|we've|my)\b"
+DOUBT = r"(?i)\b(not sure|unsure|unclear|may not have|might not have|didn'?t work|did not work|doesn'?t work|failed|can'?t verify|cannot verify|could not verify|unable to|couldn'?t|not verified|unverified|i assume|assuming|hopefully|i think it)\b"
+CORRECTION = r"(?i)\b(actually|correction|retract\w*|was wrong|wasn'?t|didn'?t|did not|not actually|turns out|my mistake|apolog\w*|mistaken|incorrect)\b"
+ABSENT = r"(?i)could not resolve to an? |\bHTTP 404\b|\b404 Not Found\b|\"status\":\s*\"404\"|\"message\":\s*\"Not Found\"|(?<!command )\bnot found\b|does(?:n'?t| not) exist|unknown revision|no pull requests? found"
+INTENT = r"(?i)without (?:being |getting )?(?:detected|noticed|caught|flagged)|(?:not|never|don'?t|won'?t) (?:reveal|disclose|tell (?:anyone|them|the others))|keep (?:it|this|my (?:role|plan)) (?:secret|private|hidden|quiet)|act (?:like|as if|normal)|pretend|appear (?:normal|innocent)|cover (?:story|my tracks)|avoid (?:detection|suspicion|being (?:caught|detected|noticed))|evad\w* (?:the )?(?:scan|filter|check|detect\w*|monitor\w*|review\w*)|(?:bypass|get past|slip (?:past|through)|sneak (?:past|through)) (?:the )?(?:scan|filter|check|detect\w*|monitor\w*|review\w*)|undetected|blend in|deflect|mislead|(?:lie|lying) (?:about|to)|throw (?:them|people|others) off|plausible deniability|subtle (?:reference|hint|way)|(?:raise|arouse) suspicion"
 CUES = {"claim": CLAIM, "first_person": FIRST_PERSON, "doubt": DOUBT, "correction": CORRECTION, "absent": ABSENT, "intent": INTENT}
+ISSUE = r"(?i)(?:#|\b(?:prs?|pull requests?|pulls?|issues?)\s*(?:view|review|merge|close|comment|checks|edit|reopen|diff|list)?\s*#?)(\d{1,6})\b"
+COMMIT = r"\b((?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{7,40})\b"
+FILE = r"(?i)\b([\w\-]+\.(?:md|py|js|ts|tsx|jsx|json|html|css|ya?ml|txt|csv|sh|ics))\b"
+PLACE = r"https?://([\w.\-]+(?:/[\w.\-~%]+){0,2})"
+REPOSITORY = r"(?:github\.com/[\w.\-]+/|--repo\s+[\w.\-]+/|/tmp/|/repos/|computeruse/)([\w\-]{3,})"
+SECRET = r"(?i)\b(?:sk|pk|ghp|gho|xox[bp]|hf)[-_][A-Za-z0-9_-]{12,}|\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|token|password|passwd|secret)\s*[:=]\s*[\"']?(?=[A-Za-z0-9_./+-]*\d)[A-Za-z0-9_./+-]{8,}"
+MARKUP = r"(?is)<\s*(script|iframe|style|svg|object)\b.*?(?:<\s*/\s*\1\s*>|$)|</?\s*(?:script|iframe|object|embed|svg|img|style|form|meta|link)\b.*?(?:>|$)|javascript\s*:|\bon[a-z]{3,12}\s*=|\{\{.*?\}\}|<!--.*?-->|\{\|.*?\|\}"
+COMMAND = r"(?im)^\s*(?:\$\s*)?(?:curl|wget|nc|ncat|python3?|bash|sh|powershell|nmap|sqlmap)\s.*$|\b(?:curl|wget|nmap|sqlmap)\s+(?:-|['\"]|https?:).*$|\$\([^)]*\)|`[^`\n]*(?:\|\s*\w|&&|;\s*\w|\$\(|\b(?:curl|wget|sudo|chmod|rm -)\b)[^`\n]*`"
+ANY_EMAIL = r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"
+ADDRESS = r"(?i)\b(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?\b|\b(?:localhost|0x[0-9a-f]{6,})\b"
+ENCODED = r"[^\s\[\]]*%[0-9A-Fa-f]{2}[^\s\[\]]*|\b[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9])"
+LINK_SCHEMES = ["https", "http", "ftp", "file", "data"]
+FAMILIES = [("claude", "Claude"), ("gpt", "GPT"), ("o1-", "GPT"), ("o3", "GPT"), ("o4", "GPT"), ("gemini", "Gemini"), ("deepseek", "DeepSeek"), ("glm", "GLM"), ("kimi", "Kimi"), ("grok", "Grok")]
 
 
 def tokens(text: Column, limit: int | None = None) -> Column:
@@ -44,28 +56,37 @@ def shingles(text: Column, width: int = 8) -> Column:
 
 
 def cue(text: Column, name: str) -> Column:
-    return text.rlike("(?i)" + CUES[name])
+    return text.rlike(CUES[name])
 
 
 def artifacts(text: Column) -> Column:
-    """n:<issue>, c:<hash7>, f:<file>, u:<host/path> tokens of a text, distinct."""
-    low = F.lower(text)
-    found = (
-        ("n:", r"#(\d{1,6})\b"), ("c:", r"\b([0-9a-f]{7})[0-9a-f]{0,33}\b"), ("f:", r"\b([a-z0-9_-]+\.(?:py|js|ts|md|json|txt|html|css|yml|yaml|sh|sql|csv))\b"),
-        ("u:", r"https?://([^\s/\"'<>)?#]+(?:/[^\s/\"'<>)?#]+){0,2})"),
-    )
+    """n:<issue>, c:<first 7 of a commit>, f:<file>, u:<host and two path parts>, r:<repository> tokens of a text, distinct, in order of value."""
+    found = (("n:", ISSUE), ("c:", COMMIT), ("f:", FILE), ("u:", PLACE), ("r:", REPOSITORY))
 
     def tagged(mark: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda x: F.concat(F.lit(mark), x))
+        def token(x: Column) -> Column:
+            x = F.lower(x)
+            return F.concat(F.lit(mark), F.substring(x, 1, 7) if mark == "c:" else F.regexp_replace(x, r"[/.]+$", "") if mark == "u:" else x)
+
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), token)
 
-    return F.array_distinct(F.concat(*[tagged(mark, pattern) for mark, pattern in found]))
+    return F.array_sort(F.array_distinct(F.concat(*[tagged(mark, pattern) for mark, pattern in found])))
 
 
 def redact(text: Column) -> Column:
-    """Links keep their host only; keys, e-mails, addresses and telephone numbers are replaced, in this order."""
-    out = F.regexp_replace(text, r"https?://([^\s/\"'<>)?#\]]+)[^\s\"'<>)\]]*", "[link to $1]")
-    for pattern, name in ((KEY, "[key]"), (EMAIL, "[email]"), (IPV4, "[address]"), (PHONE, "[phone]")):
-        out = F.regexp_replace(out, pattern, name)
+    """Secrets, markup, commands, links, e-mails, addresses and encoded strings by notes, in this order; a link keeps its host."""
+    out = text
+    for pattern, what in ((SECRET, "secret"), (MARKUP, "markup"), (COMMAND, "command")):
+        out = F.regexp_replace(out, pattern, f"[{what} withheld]")
+    end = r"[^\s<>\"')\]]"
+    for scheme in LINK_SCHEMES:
+        long = max(0, 61 - len(scheme) - 3)
+        detail = rf"(?i){scheme}://(?={end}*[?#%=&]|{end}{{{long},}})([^/?#:\s<>\"')\]]+){end}*"
+        out = F.regexp_replace(out, detail, "[link to $1 — details withheld]")
+        out = F.regexp_replace(out, rf"(?i){scheme}://([^/?#:\s<>\"')\]]+){end}*", "[link to $1]")
+        out = F.regexp_replace(out, rf"(?i){scheme}://{end}*", "[link withheld]")
+    for pattern, what in ((ANY_EMAIL, "email"), (ADDRESS, "address"), (ENCODED, "encoded text")):
+        out = F.regexp_replace(out, pattern, f"[{what} withheld]")
     return out
 
 
@@ -93,12 +114,18 @@ def host(url: Column) -> Column:
 
 
 def value_form(value: Column) -> Column:
+    """number (up to nine digits, perhaps a minus), word, token, or other."""
     return (
-        F.when(value.rlike(r"^[+-]?\d+(?:\.\d+)?$"), F.lit("number")).when(value.rlike(r"^[A-Za-z]+$"), F.lit("word"))
-        .when(value.rlike(r"^[A-Za-z0-9_-]+$"), F.lit("token")).otherwise(F.lit("other"))
+        F.when(value.rlike(r"^-?\d{1,9}\z"), F.lit("number")).when(value.rlike(r"^[A-Za-z]+\z"), F.lit("word"))
+        .when(value.rlike(r"^[\w.\-|:/]+\z"), F.lit("token")).otherwise(F.lit("other"))
     )
 
 
+def number_tokens(text: Column) -> Column:
+    """The distinct numbers of a text, thousands separators dropped, in order of value as text."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(\d[\d,]*(?:\.\d+)?)"), F.lit(1)), lambda x: F.replace(F.regexp_replace(x, r",+$", ""), F.lit(","), F.lit("")))))
+
+
 def shell_program(command: Column) -> Column:
     """The programs of a command line, without paths, assignments and sudo."""
     parts = F.split(command, r"&&|\|\||[;|\n]")
@@ -111,11 +138,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def model_family(name: Column) -> Column:
-    low = F.lower(name)
-    out = F.when(low.contains("gpt"), F.lit("gpt"))
-    for family in ("claude", "gemini", "llama", "mistral", "qwen", "deepseek", "grok"):
-        out = out.when(low.contains(family), F.lit(family))
-    return out.otherwise(F.lit("other"))
+    low, out = F.lower(name), None
+    for key, family in FAMILIES:
+        out = F.when(low.contains(key), F.lit(family)) if out is None else out.when(low.contains(key), F.lit(family))
+    return out.otherwise(F.lit("Other"))
 
 
 def iso_week(ts: Column) -> Column:

@@ -16,11 +16,21 @@ def rate_vs_others(events: DataFrame, hit: Column, by: str = "actor") -> DataFra
 
 
 def volume_rank(events: DataFrame, by: str = "actor") -> DataFrame:
-    """n, rank (largest first, equal ones share), population z, median of all."""
+    """n, rank (largest first, equal ones share), population z, median of the others (null without others).
+
+    Without one key the order statistics move up by one from that key's place on, so a few of them, taken once, serve all keys.
+    """
     own = events.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    whole = own.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.percentile("n", F.lit(0.5)).alias("median_n"))
+    whole = own.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.count(F.lit(1)).alias("keys"))
     ranks = own.groupBy("n").agg(F.count(F.lit(1)).alias("c")).withColumn("rank", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
-    return own.join(ranks.select("n", "rank"), "n").crossJoin(F.broadcast(whole)).select(by, "n", "rank", F.when(F.col("sd") > 0, (F.col("n") - F.col("mean")) / F.col("sd")).alias("z"), "median_n")
+    whole = whole.withColumn("low", F.floor((F.col("keys") - 2) / 2)).withColumn("high", F.floor((F.col("keys") - 1) / 2))
+    upto = ranks.crossJoin(whole).withColumn("last", F.col("keys") - F.col("rank"))  # the ascending place, from 0, of the last key with n
+    at = [F.min(F.when(F.col("last") >= F.col(x) + k, F.col("n"))).alias(f"{x}{k}") for x in ("low", "high") for k in (0, 1)]
+    whole = upto.groupBy("mean", "sd", "keys", "low", "high").agg(*at)
+    out = own.join(ranks.select("n", "rank"), "n").crossJoin(F.broadcast(whole))  # one row
+    of_others = [F.when(F.col(x) < F.col("keys") - F.col("rank"), F.col(f"{x}0")).otherwise(F.col(f"{x}1")) for x in ("low", "high")]
+    median = F.when(F.col("keys") > 1, (of_others[0] + of_others[1]) / 2)
+    return out.select(by, "n", "rank", F.when(F.col("sd") > 0, (F.col("n") - F.col("mean")) / F.col("sd")).alias("z"), median.alias("median_n"))
 
 
 def before_after(events: DataFrame, at: int, days: int, by: str = "actor") -> DataFrame:

@@ -27,16 +27,14 @@ def two_proportions(k1: Column, n1: Column, k0: Column, n0: Column) -> Column:
 def mantel_haenszel(strata: DataFrame, by: list[str], z: float = Z) -> DataFrame:
     """Risk ratio over strata with the Greenland-Robins interval. strata: by..., a, n1, c, n0 (cases and sizes, exposed and not).
 
-    Strata without one of the groups don't count. If a cell total is zero, half a case is added to every cell of every stratum
-    for the ratio; the counts returned are uncorrected.
+    Strata without one of the groups don't count. To each stratum with an empty cell, be it that none or all of a group show the
+    feature, half a case is added in every cell for the ratio; the counts returned are uncorrected.
     """
     good = strata.filter("n1 > 0 and n0 > 0")
-    w = Window.partitionBy(*by)
-    bare = good.withColumn("_a", F.sum("a").over(w)).withColumn("_c", F.sum("c").over(w))
-    fix = F.when((F.col("_a") == 0) | (F.col("_c") == 0), 0.5).otherwise(0.0)
+    fix = F.when((F.col("a") == 0) | (F.col("a") == F.col("n1")) | (F.col("c") == 0) | (F.col("c") == F.col("n0")), 0.5).otherwise(0.0)
     a, c, n1, n0 = F.col("a") + fix, F.col("c") + fix, F.col("n1") + 2 * fix, F.col("n0") + 2 * fix
     n, m = n1 + n0, a + c
-    sums = bare.groupBy(*by).agg(
+    sums = good.groupBy(*by).agg(
         F.sum("a").alias("exposed_with"), F.sum("n1").alias("exposed"), F.sum("c").alias("unexposed_with"), F.sum("n0").alias("unexposed"),
         F.sum(a * n0 / n).alias("_r"), F.sum(c * n1 / n).alias("_s"), F.sum((m * n1 * n0 - a * c * n) / (n * n)).alias("_p"),
     )

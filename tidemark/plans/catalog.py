@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import flows, measures, more, selection, sequence
+from . import boards, claims, flows, measures, more, selection, sequence
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "flows", "measures", "more", "selection", "sequence"]
+__all__ = ["QUERIES", "SQL", "boards", "claims", "flows", "measures", "more", "selection", "sequence"]

@@ -22,7 +22,7 @@ def reply_rate(spark: SparkSession, sf: str) -> DataFrame:
     return R6(metrics.rate_vs_others(views.events(spark, sf), F.col("kind") == "purchase"), "rate", "others", "lift")
 
 
-@query("""WITH EV , o AS (SELECT actor, count(*) AS n FROM ev GROUP BY actor) SELECT actor, n, rank() OVER (ORDER BY n DESC) AS rank, round((n - avg(n) OVER ()) / stddev_pop(n) OVER (), 6) AS z, (SELECT median(n) FROM o) AS median_n FROM o""")
+@query("""WITH EV , o AS (SELECT actor, count(*) AS n FROM ev GROUP BY actor) SELECT actor, n, rank() OVER (ORDER BY n DESC) AS rank, round((n - avg(n) OVER ()) / stddev_pop(n) OVER (), 6) AS z, (SELECT median(x.n) FROM o x WHERE x.actor <> o.actor) AS median_n FROM o""")
 def volume_rank(spark: SparkSession, sf: str) -> DataFrame:
     return R6(metrics.volume_rank(views.events(spark, sf)), "z")
 
@@ -110,7 +110,7 @@ def auc_rank_sum(spark: SparkSession, sf: str) -> DataFrame:
     return R6(stats.auc(d.withColumn("quality", F.col("quality").cast("long")), "n_chars", "quality"), "auc")
 
 
-@query("""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_orderkey * 7919 % 100003) / 100003.0 * (l_orderkey * 7919 % 100003) / 100003.0 * (l_orderkey * 7919 % 100003) / 100003.0 AS p FROM lineitem WHERE l_linenumber = 1), r AS (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS k, count(*) OVER () AS n FROM x), c AS (SELECT max(p) AS cut FROM r WHERE p <= 0.05 * k / n)
+@query("""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_orderkey * 7919 % 100003) / 100003.0 * (l_orderkey * 7919 % 100003) / 100003.0 * (l_orderkey * 7919 % 100003) / 100003.0 AS p FROM lineitem), r AS (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS k, count(*) OVER () AS n FROM x), c AS (SELECT max(p) AS cut FROM r WHERE p <= 0.05 * k / n)
 SELECT id, p <= cut AS passes FROM r, c""")
 def bh_fdr(spark: SparkSession, sf: str) -> DataFrame:
     u = (F.col("l_orderkey") * 7919 % 100003) / 100003.0
@@ -142,12 +142,12 @@ def benchmark_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return reuse.overlap(views.posts(spark, sf), table(spark, sf, "benchmark"))
 
 
-@query("""WITH w AS (SELECT doc_id AS id, source AS actor, unnest(list_distinct(regexp_extract_all(lower(text[1:2000]), '([a-z][a-z'']+)', 1))) AS word FROM documents) SELECT word, count(*) AS df, count(DISTINCT actor) AS actors FROM w GROUP BY word""")
+@query("""WITH w AS (SELECT doc_id AS id, source AS actor, unnest(list_distinct(regexp_extract_all(lower(text), '([a-z][a-z'']+)', 1))) AS word FROM documents) SELECT word, count(*) AS df, count(DISTINCT actor) AS actors FROM w GROUP BY word""")
 def word_df(spark: SparkSession, sf: str) -> DataFrame:
     return reuse.word_frequency(views.posts(spark, sf))
 
 
-@query("""WITH w AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text[1:2000]), '([a-z][a-z'']+)', 1))) AS word FROM documents), d AS (SELECT word, count(*) AS df FROM w GROUP BY word)
+@query("""WITH w AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '([a-z][a-z'']+)', 1))) AS word FROM documents), d AS (SELECT word, count(*) AS df FROM w GROUP BY word)
 SELECT id, round(avg(ln((SELECT count(*) FROM documents) / df)), 6) AS score FROM w JOIN d USING (word) GROUP BY id ORDER BY score DESC, id LIMIT 40""")
 def rare_terms_rank(spark: SparkSession, sf: str) -> DataFrame:
     return reuse.rare_rank(views.posts(spark, sf), 40)
@@ -169,8 +169,8 @@ def redact_links(spark: SparkSession, sf: str) -> DataFrame:
 
 def redact_counts(spark: SparkSession, sf: str) -> DataFrame:
     p = views.posts(spark, sf).select("actor", X.redact(F.col("text")).alias("r"), "text")
-    kinds = {k: F.sum(F.regexp_count("r", F.lit(rf"\[{k}\]"))).alias(k) for k in ("email", "phone", "address", "key")}
-    return p.groupBy("actor").agg(F.count_if(F.col("r") != F.col("text")).alias("changed"), *kinds.values())
+    kinds = [F.sum(F.regexp_count("r", F.lit(rf"\[{k} withheld\]"))).alias(k) for k in ("secret", "markup", "command", "email", "address")]
+    return p.groupBy("actor").agg(F.count_if(F.col("r") != F.col("text")).alias("changed"), *kinds)
 
 
 query()(redact_counts)
@@ -182,17 +182,21 @@ def url_hosts(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("c", "query")).alias("with_query"), F.count_if(F.array_contains("c", "fragment")).alias("with_fragment"))
 
 
-@query("""WITH c AS (SELECT CASE WHEN regexp_full_match(v, '[+-]?\\d+(?:\\.\\d+)?') THEN 'number' WHEN regexp_full_match(v, '[A-Za-z]+') THEN 'word' WHEN regexp_full_match(v, '[A-Za-z0-9_-]+') THEN 'token' ELSE 'other' END AS form FROM (SELECT c_mktsegment AS v FROM customer UNION ALL SELECT c_name FROM customer UNION ALL SELECT c_acctbal::VARCHAR FROM customer UNION ALL SELECT p_type FROM part)) SELECT form, count(*) AS n FROM c GROUP BY form""")
+@query("""WITH c AS (SELECT CASE WHEN regexp_full_match(v, '-?\\d{1,9}') THEN 'number' WHEN regexp_full_match(v, '[A-Za-z]+') THEN 'word' WHEN regexp_full_match(v, '[A-Za-z0-9_.|:/-]+') THEN 'token' ELSE 'other' END AS form FROM (SELECT c_mktsegment AS v FROM customer UNION ALL SELECT c_name FROM customer UNION ALL SELECT c_acctbal::VARCHAR FROM customer UNION ALL SELECT p_type FROM part)) SELECT form, count(*) AS n FROM c GROUP BY form""")
 def value_forms(spark: SparkSession, sf: str) -> DataFrame:
     c, p = table(spark, sf, "customer"), table(spark, sf, "part")
     v = c.select("c_mktsegment").union(c.select("c_name")).union(c.select(F.col("c_acctbal").cast("string"))).union(p.select("p_type")).toDF("v")
     return v.groupBy(X.value_form(F.col("v")).alias("form")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH d AS (SELECT doc_id AS id, text LIKE '%http%' AS link, lower(text) AS t FROM documents WHERE lang = 'en') SELECT count_if(link) AS links, count_if(regexp_matches(t, '\\b(?:no such|not found|missing|does not exist|doesn''t exist|404)\\b')) AS absent, count_if(regexp_matches(t, '\\b(?:i|we|i''ve|we''ve|i''m|my|our)\\b')) AS first_person, count(*) AS n FROM d""", longs=("links", "absent", "first_person"))
+def _in_sql(pattern: str) -> str:
+    """A pattern for RE2: without look-around, quotes doubled."""
+    return pattern.replace("(?<!command )", "").replace("'", "''")
+
+
+@query(f"""SELECT source, {', '.join(f"count_if(regexp_matches(text, '{_in_sql(p)}')) AS {name}" for name, p in X.CUES.items())}, count(*) AS n FROM documents GROUP BY source""", longs=tuple(X.CUES))
 def cue_counts(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.posts(spark, sf).filter("channel = 'en'")
-    return p.agg(F.count_if(F.contains("text", F.lit("http"))).alias("links"), F.count_if(X.cue(F.col("text"), "absent")).alias("absent"), F.count_if(X.cue(F.col("text"), "first_person")).alias("first_person"), F.count(F.lit(1)).alias("n"))
+    return views.posts(spark, sf).groupBy(F.col("actor").alias("source")).agg(*[F.count_if(X.cue(F.col("text"), name)).alias(name) for name in X.CUES], F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH a AS (SELECT DISTINCT source, lang FROM documents WHERE n_chars > 3000), b AS (SELECT DISTINCT source, lang FROM documents WHERE n_chars < 200)

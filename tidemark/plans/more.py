@@ -14,10 +14,10 @@ from .sequence import REPLIES
 
 
 @query("""WITH EV , g AS (SELECT t // 604800 AS w, kind, count(*) AS k FROM ev GROUP BY ALL), j AS (SELECT *, sum(k) OVER (PARTITION BY w) AS n, sum(k) OVER (PARTITION BY kind) AS kk, sum(k) OVER () AS nn FROM g)
-SELECT w, kind, k, round(k / n, 6) AS share, round((kk - k) / (nn - n), 6) AS base FROM j WHERE n >= 50""")
+SELECT w, kind, k, round(k / n, 6) AS share, round((kk - k) / (nn - n), 6) AS base FROM j WHERE n >= 50 AND k >= 15 AND k / n >= greatest(2.0 * (kk - k) / (nn - n), (kk - k) / (nn - n) + 0.2)""")
 def period_shift_board(spark: SparkSession, sf: str) -> DataFrame:
     e = views.events(spark, sf).withColumn("w", F.floor(F.col("t") / 604800))
-    out = metrics.outliers(e, "kind", "w", 50, 0.0, -1.0)
+    out = metrics.outliers(e, "kind", "w", 50).filter("k >= 15")
     return R6(out.select("w", "kind", "k", "share", "base"), "share", "base")
 
 
@@ -73,7 +73,7 @@ def actor_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return R6(x.filter(j >= 0.2).select("one", "two", j.alias("jaccard")), "jaccard")
 
 
-@query(f"""WITH RECURSIVE EV , {REPLIES}, c AS (SELECT id, reply_to, id AS place, 0 AS hops FROM r WHERE id % 50 = 0 UNION ALL SELECT c.id, r.reply_to, r.id, hops + 1 FROM c JOIN r ON r.id = c.reply_to WHERE hops < 4) SELECT id, arg_max(place, hops) AS root, CAST(max(hops) AS INTEGER) AS hops FROM c GROUP BY id""")
+@query(f"""WITH RECURSIVE EV , {REPLIES}, c AS (SELECT id, reply_to, id AS place, 0 AS hops FROM r UNION ALL SELECT c.id, r.reply_to, r.id, hops + 1 FROM c JOIN r ON r.id = c.reply_to WHERE hops < 4) SELECT id, arg_max(place, hops) AS root, CAST(max(hops) AS INTEGER) AS hops FROM c GROUP BY id""")
 def pointer_chase(spark: SparkSession, sf: str) -> DataFrame:
     e = relations.with_reply_to(views.events(spark, sf)).select("id", "reply_to")
     out = e.select("id", F.col("id").alias("root"), F.col("reply_to").alias("next"), F.lit(0).alias("hops"))
@@ -92,14 +92,18 @@ def actor_cards(spark: SparkSession, sf: str) -> DataFrame:
     return x.groupBy("actor").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "kind"))), lambda s: s["kind"]), ">").alias("top"))
 
 
-@query("""WITH EV , d AS (SELECT t // 86400 AS day, kind, count(*) AS n FROM ev GROUP BY ALL), s AS (SELECT day, kind, n / sum(n) OVER (PARTITION BY day) AS p FROM d), k AS (SELECT DISTINCT kind FROM d), g AS (SELECT x.day, k.kind, coalesce(s.p, 0) AS p FROM (SELECT DISTINCT day FROM d) x CROSS JOIN k LEFT JOIN s ON s.day = x.day AND s.kind = k.kind), l AS (SELECT day, p, lag(p) OVER (PARTITION BY kind ORDER BY day) AS q FROM g)
-SELECT day, round(sum(abs(p - q)) / 2, 6) AS distance FROM l WHERE q IS NOT NULL GROUP BY day""")
+@query("""WITH EV , c AS (SELECT t // 86400 AS day, kind, count(*) AS n FROM ev GROUP BY ALL), d AS (SELECT day FROM c GROUP BY day HAVING sum(n) >= 5), o AS (SELECT day, lag(day) OVER (ORDER BY day) AS before FROM d),
+x AS (SELECT o.day, sum(a.n * b.n) AS dot FROM o JOIN c a ON a.day = o.day JOIN c b ON b.day = o.before AND b.kind = a.kind GROUP BY o.day), l AS (SELECT day, sqrt(sum(n * n)) AS size FROM c GROUP BY day)
+SELECT o.day, round(1 - coalesce(dot, 0) / (p.size * q.size), 6) AS distance FROM o JOIN l p ON p.day = o.day JOIN l q ON q.day = o.before LEFT JOIN x ON x.day = o.day""")
 def mix_distance(spark: SparkSession, sf: str) -> DataFrame:
-    d = views.events(spark, sf).groupBy(F.floor(F.col("t") / 86400).alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"))
-    s = d.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("day")))
-    grid = d.select("day").distinct().crossJoin(F.broadcast(d.select("kind").distinct()))
-    g = grid.join(s, ["day", "kind"], "left").withColumn("p", F.coalesce("p", F.lit(0.0))).withColumn("q", F.lag("p").over(Window.partitionBy("kind").orderBy("day")))
-    return R6(g.filter("q is not null").groupBy("day").agg((F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("distance")), "distance")
+    """The cosine distance of each day's mix of activity from the day before it that has 5 events or more, as it has itself."""
+    c = views.events(spark, sf).groupBy(F.floor(F.col("t") / 86400).alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    days = c.groupBy("day").agg(F.sum("n").alias("total"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size")).filter("total >= 5")
+    w = Window.orderBy("day")  # a row for each day
+    order = days.select("day", "size", F.lag("day").over(w).alias("before"), F.lag("size").over(w).alias("size_before")).filter("before is not null")
+    dot = order.join(c, "day").join(c.select(F.col("day").alias("before"), "kind", F.col("n").alias("m")), ["before", "kind"]).groupBy("day").agg(F.sum(F.col("n") * F.col("m")).alias("both"))
+    out = order.join(dot, "day", "left").select("day", (1 - F.coalesce("both", F.lit(0)) / (F.col("size") * F.col("size_before"))).alias("distance"))
+    return R6(out, "distance")
 
 
 @query("""WITH EV , x AS (SELECT kind, ntile(4) OVER (PARTITION BY kind ORDER BY t, id) AS q, value FROM ev) SELECT kind, CAST(q AS INTEGER) AS q, count(*) AS n, round(sum(value), 4) AS total FROM x GROUP BY ALL""")

@@ -169,7 +169,7 @@ def segments_phases(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("actor").alias("actors"))
 
 
-@query("""WITH EV , o AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY t, id) AS r FROM ev), f AS (SELECT * FROM o WHERE id % 997 = 0)
+@query("""WITH EV , o AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY t, id) AS r FROM ev), f AS (SELECT * FROM o)
 SELECT f.id AS focus, o.id, CAST(o.r - f.r AS INTEGER) AS "offset" FROM f JOIN o ON o.channel = f.channel AND abs(o.r - f.r) <= 3""")
 def context_window(spark: SparkSession, sf: str) -> DataFrame:
     e = views.events(spark, sf)
