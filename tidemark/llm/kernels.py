@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
