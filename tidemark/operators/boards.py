@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import previous_others
+
 #: The weights of severities and confidences.
 SEVERITY_WEIGHT = {"low": 1, "medium": 2, "high": 4, "critical": 6}
 CONFIDENCE_WEIGHT = {"high": 1.0, "medium": 0.6}
@@ -170,23 +172,8 @@ def started_and_stopped(events: DataFrame, label: str, days: int = 5) -> DataFra
 
 
 def before_context(events: DataFrame, place: str, within: int = 3600, keep: int = 3) -> DataFrame:
-    """For each event the previous `keep` events of its place by others, within `within` seconds: id, other, nth.
-
-    Rows of the place are carried forward in one pass: enough of the last ones that `keep` by others are among them, which takes the last
-    `keep` of each of the last `keep` + 1 actors; so a run of one actor is seen through.
-    """
-    w = Window.partitionBy(place).orderBy("t", "id")
-    change = F.when(F.lag("actor").over(w).eqNullSafe(F.col("actor")), 0).otherwise(1)
-    runs = events.select(place, "id", "actor", "t", change.alias("c")).withColumn("run", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    back = Window.partitionBy(place, "run").orderBy(F.desc("t"), F.desc("id"))
-    tails = runs.withColumn("r", F.row_number().over(back)).filter(F.col("r") <= keep)
-    packed = tails.groupBy(place, "run", "actor").agg(F.sort_array(F.collect_list(F.struct("t", "id")), asc=False).alias("tail"))
-    near = packed.withColumn("before", F.collect_list(F.struct("run", "actor", "tail")).over(Window.partitionBy(place).orderBy("run").rowsBetween(-2 * keep, -1)))
-    joined = runs.join(near.select(place, "run", "before"), [place, "run"])
-    others = F.filter("before", lambda b: b["actor"] != F.col("actor"))
-    flat = F.sort_array(F.flatten(F.transform(others, lambda b: b["tail"])), asc=False)
-    good = F.slice(F.filter(flat, lambda x: x["t"] >= F.col("t") - within), 1, keep)
-    return joined.select("id", F.posexplode(good).alias("at", "x")).select("id", F.col("x.id").alias("other"), (F.col("at") + 1).alias("nth"))
+    """For each event the previous `keep` events of its place by others, within `within` seconds: id, other, nth."""
+    return previous_others(events, place, keep, within).select(F.col("v").alias("id"), F.col("u").alias("other"), "nth")
 
 
 def label_shuffle(events: DataFrame, label: str, seed: int) -> DataFrame:

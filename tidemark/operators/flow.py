@@ -6,7 +6,7 @@ units: unit, actor, t. has: unit, feature (what a judged unit shows). edges: v (
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -47,6 +47,40 @@ def strata(units: DataFrame, has: DataFrame, edges: DataFrame, week: Column) ->
     return cell.join(F.broadcast(total), "week").select("feature", "week", "a", "n1", "c", (F.col("n") - F.col("n1")).alias("n0"))
 
 
+def observed_expected(units: DataFrame, has: DataFrame, edges: DataFrame, week: Column) -> DataFrame:
+    """For each feature, over targets with a source that shows it: observed (those that show it too), expected (their weeks' shares of all units added up), o_e."""
+    u = units.select("unit", week.alias("week"))
+    rate = has.join(u, "unit").groupBy("feature", "week").agg(F.count_distinct("unit").alias("k")).join(u.groupBy("week").agg(F.count(F.lit(1)).alias("all_n")), "week")
+    s = strata(units, has, edges, week).join(rate, ["feature", "week"], "left")
+    out = s.groupBy("feature").agg(F.sum("a").alias("observed"), F.sum(F.col("n1") * F.coalesce(F.col("k") / F.col("all_n"), F.lit(0.0))).alias("expected"))
+    return out.withColumn("o_e", F.when(F.col("expected") > 0, F.col("observed") / F.col("expected")))
+
+
+def ranking(ratios: DataFrame, least: int = 5, above: float = 1.0) -> DataFrame:
+    """Features by the low end of their ratio, of those with `least` exposed cases and a low end over `above`: place."""
+    good = ratios.filter((F.col("exposed_with") >= least) & (F.col("lo") > above))
+    return good.withColumn("place", F.row_number().over(Window.orderBy(F.desc("lo"), "feature")))  # a row for each feature
+
+
+def held_out(units: DataFrame, has: DataFrame, edges: DataFrame, week: Column, test: Column, least: int = 5) -> DataFrame:
+    """feature, exposed_with, rr, lo, hi of the transmission to targets of the test part only, and its verdict: holds, contradicted, undecided or too few cases."""
+    part = edges.join(units.filter(test).select(F.col("unit").alias("v")), "v", "left_semi")
+    r = transmission(units, has, part, week)
+    verdict = F.when((F.col("exposed_with") < least) | F.col("lo").isNull(), "too few cases").when(F.col("lo") > 1, "holds").when(F.col("hi") < 1, "contradicted").otherwise("undecided")
+    return r.select("feature", "exposed_with", "rr", "lo", "hi", verdict.alias("verdict"))
+
+
+def described(units: DataFrame, has: DataFrame, inside: Column, least: int = 5, z: float = 2.0, top: int = 5) -> DataFrame:
+    """What sets a window apart: features with `least` units in it and a z of `z` or more against the rest, by lift over all units: feature, share, elsewhere, lift, z."""
+    u = units.select("unit", inside.alias("inside"))
+    n = u.agg(F.count_if("inside").alias("n"), F.count_if(~F.col("inside")).alias("rest"))
+    k = has.select("unit", "feature").distinct().join(u, "unit").groupBy("feature").agg(F.count_if("inside").alias("k"), F.count_if(~F.col("inside")).alias("k_rest"))
+    x = k.crossJoin(F.broadcast(n))  # one row
+    out = x.select("feature", "k", (F.col("k") / F.col("n")).alias("share"), (F.col("k_rest") / F.col("rest")).alias("elsewhere"), ((F.col("k") / F.col("n")) / ((F.col("k") + F.col("k_rest")) / (F.col("n") + F.col("rest")))).alias("lift"), two_proportions(F.col("k"), F.col("n"), F.col("k_rest"), F.col("rest")).alias("z"))
+    good = out.filter((F.col("k") >= least) & (F.col("z") >= z))
+    return good.withColumn("place", F.row_number().over(Window.orderBy(F.desc("lift"), "feature"))).filter(F.col("place") <= top).drop("k")  # a row for each feature
+
+
 def transmission(units: DataFrame, has: DataFrame, edges: DataFrame, week: Column) -> DataFrame:
     """Risk ratio of showing a feature with and without a source that shows it, over weeks of the target."""
     return mantel_haenszel(strata(units, has, edges, week), ["feature"])

@@ -92,17 +92,23 @@ def next_other_actor(df: DataFrame, place: str, within: int) -> DataFrame:
 
 
 def previous_others(df: DataFrame, place: str, k: int, within: int) -> DataFrame:
-    """u -> v edges: for each row v the last k rows u of other actors in its place, no more than within seconds before, by (t, id).
+    """u -> v edges: for each row v the last k rows u of other actors in its place, no more than within seconds before, by (t, id), and nth of each.
 
-    A range join by buckets of within seconds: each row meets its own bucket and the one before.
+    Rows fall into runs of one actor. Of the last 2 * k runs before a row's own at least k are others', so the last k rows of each of
+    these hold all that is asked for: one pass over the place in order, whatever its length, and no pairs.
     """
-    b = F.floor(F.col("t") / within)
-    v = df.select(F.col(place).alias("p"), F.col("id").alias("v"), F.col("t").alias("vt"), F.col("actor").alias("va"), F.explode(F.array(b, b - 1)).alias("b"))
-    u = df.select(F.col(place).alias("p"), F.col("id").alias("u"), F.col("t").alias("ut"), F.col("actor").alias("ua"), b.alias("b"))
-    before = (F.col("ut") < F.col("vt")) | ((F.col("ut") == F.col("vt")) & (F.col("u") < F.col("v")))
-    near = v.join(u, ["p", "b"]).filter(before & (F.col("vt") - F.col("ut") <= within) & (F.col("ua") != F.col("va")))
-    place_ = Window.partitionBy("v").orderBy(F.desc("ut"), F.desc("u"))
-    return near.withColumn("r", F.row_number().over(place_)).filter(F.col("r") <= k).select("u", "v")
+    w = Window.partitionBy("p").orderBy("t", "id")
+    rows = df.select(F.col(place).alias("p"), "id", "actor", "t")
+    rows = rows.withColumn("new", F.when(F.lag("actor").over(w).eqNullSafe(F.col("actor")), 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    back = Window.partitionBy("p", "run").orderBy(F.desc("t"), F.desc("id"))
+    tails = rows.withColumn("r", F.row_number().over(back)).filter(F.col("r") <= k)
+    packed = tails.groupBy("p", "run", "actor").agg(F.collect_list(F.struct("t", "id")).alias("tail"))
+    runs = packed.select("p", "run", F.collect_list(F.struct("actor", "tail")).over(Window.partitionBy("p").orderBy("run").rowsBetween(-2 * k, -1)).alias("before"))
+    joined = rows.filter("p is not null").join(runs, ["p", "run"])
+    others = F.filter("before", lambda x: x["actor"] != F.col("actor"))
+    last = F.sort_array(F.flatten(F.transform(others, lambda x: x["tail"])), asc=False)
+    near = F.slice(F.filter(last, lambda x: x["t"] >= F.col("t") - within), 1, k)
+    return joined.select(F.col("id").alias("v"), F.posexplode(near).alias("at", "x")).select(F.col("x.id").alias("u"), "v", (F.col("at") + 1).alias("nth"))
 
 
 def runs(df: DataFrame, keys: list[str], shape: str, least: int) -> DataFrame:

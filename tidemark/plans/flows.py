@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunks, cluster, flow, influence, ledger, sequences
-from ..session import table
+from ..session import cut, table
 from ..sources import views
 from .measures import R6
 from .registry import query
@@ -23,7 +23,7 @@ STRATA_SQL = "tg AS (SELECT DISTINCT v FROM ed), ex AS (SELECT DISTINCT v, featu
 def _flow(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = views.events(spark, sf)
     has = e.select(F.col("id").alias("unit"), F.col("kind").alias("feature")).union(e.filter("value > 50").select("id", F.lit("high")))
-    return e.select(F.col("id").alias("unit"), "actor", "t"), has, sequences.previous_others(e, "channel", 3, 86400)
+    return e.select(F.col("id").alias("unit"), "actor", "t"), has, cut(sequences.previous_others(e, "channel", 3, 86400).select("u", "v"))
 
 
 def _week() -> Column:

@@ -86,7 +86,7 @@ def next_other_actor(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH EV , p AS (SELECT u.id AS u, v.id AS v, row_number() OVER (PARTITION BY v.id ORDER BY u.t DESC, u.id DESC) AS r FROM ev v JOIN ev u ON u.channel = v.channel AND u.actor <> v.actor AND u.t >= v.t - 86400 AND (u.t, u.id) < (v.t, v.id))
 SELECT u, v FROM p WHERE r <= 3""")
 def channel_edges_prev3(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.previous_others(views.events(spark, sf), "channel", 3, 86400)
+    return sequences.previous_others(views.events(spark, sf), "channel", 3, 86400).select("u", "v")
 
 
 @query("""WITH EV , m AS (SELECT *, CASE WHEN lag(kind) OVER w IS NOT DISTINCT FROM kind AND lag(id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS brk FROM ev WINDOW w AS (PARTITION BY actor ORDER BY t, id)), s AS (SELECT *, sum(brk) OVER (PARTITION BY actor ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS g FROM m)
