@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.api import Session
 from tidemark.functions import text as X
-from tidemark.operators import chunks, cluster, flow, influence, ledger, ranges, relations, select, sequences, stats
+from tidemark.operators import evidence, chunks, cluster, flow, influence, ledger, ranges, relations, select, sequences, stats
 from tidemark.operators.select import QueryError
 from tidemark.sources import adapters, canonical
 
@@ -155,11 +155,51 @@ def test_patterns_and_names(spark):
 
 
 def test_text_functions(spark):
-    r = one(spark.createDataFrame([("see https://x.org/a/b?c=1, mail me@y.com or +1 (555) 123-4567; fixed #12 in run.py", "cd /x && sudo FOO=1 python3 a.py | grep b")], "t string, c string").select(
-        X.redact(F.col("t")).alias("r"), X.artifacts(F.col("t")).alias("a"), X.shell_program(F.col("c")).alias("p"), X.cue(F.col("t"), "claim").alias("k"), X.shingles(F.lit("a b c"), 8).alias("s")))
-    assert "[link to x.org]" in r["r"] and "[email]" in r["r"] and "[phone]" in r["r"]
-    assert {"n:12", "f:run.py", "u:x.org/a/b"} <= set(r["a"])
-    assert r["p"] == ["cd", "python3", "grep"] and r["k"] and r["s"] == []
+    text = "see https://x.org/a/b?c=1, mail me@y.com; fixed PR 12 in run.py at 1a2b3c4d5e and github.com/o/repo-x"
+    r = one(spark.createDataFrame([(text,)], "t string").select(X.artifacts(F.col("t")).alias("a"), X.cue(F.col("t"), "claim").alias("k"), X.shingles(F.lit("a b c"), 8).alias("s")))
+    assert {"n:12", "f:run.py", "u:x.org/a/b", "c:1a2b3c4", "r:repo-x"} <= set(r["a"]) and r["k"] and r["s"] == []
+
+
+def test_redaction_withholds_detail_and_keeps_plain_words(spark):
+    cases = {
+        "Total is 42 of 350 points, see 3.2.1.": "Total is 42 of 350 points, see 3.2.1.",
+        "open https://example.org/a?q=1&x=%41%42%43 now": "open [link to example.org — details withheld] now",
+        "posted at https://example.org": "posted at [link to example.org]",
+        "x <script>alert(1)</script> y": "x [markup withheld] y",
+        "ran `index.html` fine": "ran `index.html` fine",
+        "mail jane.doe+x@mail.example.com or bot-5.1@agentvillage.org today": "mail [email withheld] or [email withheld] today",
+        "see https://a.b/?to=x@y.com": "see [link to a.b — details withheld]",
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.redact(F.col("t")).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in got} == cases
+    r = one(spark.createDataFrame([("password: hunter2abc9", "`ls -la | grep secret`")], "a string, b string").select(X.redact(F.col("a")).alias("a"), X.redact(F.col("b")).alias("b")))
+    assert "[secret withheld]" in r["a"] and "[command withheld]" in r["b"]
+    nested = spark.createDataFrame([(("https://a.b/c?d=1", ["see https://a.b/c?d=1"]),)], "o struct<id:string,texts:array<string>>")
+    r = one(nested.select(X.redact_value(F.col("o"), nested.schema["o"].dataType).alias("o")))["o"]
+    assert r["id"] == "https://a.b/c?d=1" and r["texts"] == ["see [link to a.b — details withheld]"]
+
+
+def test_shell_programs_and_requests(spark):
+    cases = {
+        "bash: cd /x && git push origin main": "git push", "Bash: gh pr create --title t": "gh pr create", "bash: FOO=1 timeout 30 python3 run.py | tail": "python3",
+        "bash: cd /x && echo hi": None, "bash: data.json": None, "": None,
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "c string").select("c", X.shell_program(F.col("c")).alias("p")).collect()
+    assert {r["c"]: r["p"] for r in got} == cases
+    urls = {
+        "https://Host.org/a//b?x=1+or+1=1": ["requested: host.org", "request: query shaped like code injection", "request: unusual path (doubled slashes)"],
+        "https://r.io/redirect?url=x&cb=12345": ["requested: r.io", "request: random tag that defeats caching", "request: routed through a redirect service"],
+    }
+    got = spark.createDataFrame([(k,) for k in urls], "u string").select("u", X.url_category(F.col("u")).alias("c")).collect()
+    assert {r["u"]: r["c"] for r in got} == urls
+
+
+def test_behaviours_and_numbers(spark):
+    rows = [("message", "I fixed it, mail a@gmail.com", None, False), ("action", "x", "bash", False), ("result", "x", "bash", True), ("reasoning", "not sure", None, False)]
+    got = spark.createDataFrame(rows, "k string, t string, tool string, e boolean").select(evidence.behaviours(F.col("k"), F.col("t"), F.col("tool"), F.col("e")).alias("b")).collect()
+    assert [r["b"] for r in got] == [["said", "claims an outcome", "posts a personal e-mail address"], ["acted: bash"], ["failed: bash"], ["thought", "thought: doubts its work"]]
+    assert one(spark.range(1).select(X.number_tokens(F.lit("1,200 of 3.5, and 7")).alias("n")))["n"] == ["1200", "3.5", "7"]
+    assert evidence.lanes({("a", "b"): 1, ("b", "c"): 5, ("a", "d"): 3}, "a") == ["a", "d", "b", "c"]
 
 
 def test_chunks_cover_every_event():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The patterns and word lists that decide the results of the text functions.
 WORD = r"([a-z][a-z']+)"
@@ -30,6 +31,14 @@ ANY_EMAIL = r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]
 ADDRESS = r"(?i)\b(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?\b|\b(?:localhost|0x[0-9a-f]{6,})\b"
 ENCODED = r"[^\s\[\]]*%[0-9A-Fa-f]{2}[^\s\[\]]*|\b[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9])"
 LINK_SCHEMES = ["https", "http", "ftp", "file", "data"]
+SKIP_PROGRAMS = ["cd", "echo", "sleep", "export", "set", "true", "source", ".", "printf", "pwd", "clear", "then", "fi", "do", "done", "else", "if", "for", "while"]
+SUB_COMMANDS = ["git", "gh", "npm", "npx", "pip", "pip3", "docker", "kubectl", "cargo", "yarn", "pnpm", "apt", "apt-get", "brew", "systemctl"]
+BEFORE_PROGRAM = r"^(?:(?:[A-Za-z_]\w*=\S*|sudo|timeout|time|nohup|env|exec|\(|\{|\d+[smh]?)(?:\s+|$))+"
+DATA_FILE = r"(?i)\.(json|md|txt|html?|csv|ya?ml|log|xml|png|jpe?g)$"
+INJECTION = r"(?i)(\b(or|and)\b\s*'?\d+'?\s*=\s*'?\d+|\bunion\b\s+(all\s+)?\bselect\b|'\s*--|;\s*--|\bsleep\s*\(|<\s*script|\.\./\.\./|%00)"
+CACHE_TAG = r"(?i)[?&](zz|zzbulk|cb|nonce|prepnonce|uniq|rand|ts|_)=[^&]{3,}"
+REDIRECT = r"(?i)redirect[^?]*\?[^ ]*url=|[?&](url|u|target|dest)=https?%3a"
+KEPT_KEYS = ["id", "event_id", "ts", "first", "last", "from", "to", "since", "until", "anchor", "kind", "actor", "status", "verdict", "severity", "confidence", "type", "src", "dst"]
 FAMILIES = [("claude", "Claude"), ("gpt", "GPT"), ("o1-", "GPT"), ("o3", "GPT"), ("o4", "GPT"), ("gemini", "Gemini"), ("deepseek", "DeepSeek"), ("glm", "GLM"), ("kimi", "Kimi"), ("grok", "Grok")]
 
 
@@ -90,6 +99,19 @@ def redact(text: Column) -> Column:
     return out
 
 
+def redact_value(value: Column, kind: T.DataType, key: str | None = None) -> Column:
+    """value with every string in it redacted, through structs, arrays and the values of maps; identifiers and times, by name, are left alone."""
+    if isinstance(kind, T.StringType):
+        return value if key in KEPT_KEYS else redact(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redact_value(x, kind.elementType, key))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, x: redact_value(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[redact_value(value[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]))
+    return value
+
+
 def delexicalise(text: Column) -> Column:
     """E-mails, links, dates, times, long hexadecimal ids and numbers by their class."""
     out = text
@@ -99,12 +121,15 @@ def delexicalise(text: Column) -> Column:
 
 
 def url_category(url: Column) -> Column:
-    """Categories of a requested address, as an array."""
-    path = F.coalesce(F.regexp_extract(url, r"^[a-z]+://[^/]+([^?#]*)", 1), F.lit(""))
+    """What a requested address shows, as an array."""
+    decode = lambda c: F.coalesce(F.try_url_decode(c), c)
+    path = F.regexp_extract(url, r"^[a-z]+://[^/?#]+([^?#]*)", 1)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    name = host(url)
     flags = F.array(
-        F.when(query != "", F.lit("query")), F.when(query.rlike(r"(?i)(?:^|&)(?:url|next|redirect|goto)="), F.lit("redirect")), F.when(query.rlike(r"(?i)(?:^|&)(?:cb|_|nocache|t|ts)=\d"), F.lit("cache tag")),
-        F.when(query.rlike(r"(?i)<script|union.+select|\.\./|%3cscript"), F.lit("injection")), F.when(path.contains("//"), F.lit("double slash")), F.when(url.contains("#"), F.lit("fragment")),
+        F.when(name != "", F.concat(F.lit("requested: "), name)), F.when(decode(query).rlike(INJECTION) | decode(path).rlike(INJECTION), "request: query shaped like code injection"),
+        F.when(F.concat(F.lit("?"), query).rlike(CACHE_TAG), "request: random tag that defeats caching"), F.when(url.rlike(REDIRECT), "request: routed through a redirect service"),
+        F.when(F.substring(path, 2, 10**6).contains("//"), "request: unusual path (doubled slashes)"),
     )
     return F.filter(flags, lambda x: x.isNotNull())
 
@@ -127,10 +152,20 @@ def number_tokens(text: Column) -> Column:
 
 
 def shell_program(command: Column) -> Column:
-    """The programs of a command line, without paths, assignments and sudo."""
-    parts = F.split(command, r"&&|\|\||[;|\n]")
-    bare = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), r"^(?:(?:sudo|env|time|nohup)\s+|[A-Za-z_][A-Za-z0-9_]*=\S*\s+)+", ""))
-    return F.filter(F.transform(bare, lambda p: F.regexp_extract(p, r"^(?:\S*/)?([A-Za-z0-9_.+-]+)", 1)), lambda p: p != "")
+    """The first program of a command that does something, with its sub-command where it has some: git push, gh pr create, python3; null if there is none."""
+    bare = F.when(F.substring(command, 1, 20).rlike(r"^\s*\w+:"), F.regexp_replace(command, r"^[^:]*:", "")).otherwise(command)
+    parts = F.split(F.substring(bare, 1, 600), r"&&|\|\||;|\||\n")
+
+    def program(part: Column) -> Column:
+        rest = F.split(F.regexp_replace(F.trim(part), BEFORE_PROGRAM, ""), r"\s+")
+        name = F.regexp_replace(F.regexp_replace(rest[0], r"^['\"()]+|['\"()]+$", ""), r"^.*/", "")
+        words = F.filter(F.slice(rest, 2, 3), lambda w: w.rlike(r"^[a-z][\w-]*$"))
+        second = F.try_element_at(words, F.lit(1))
+        third = F.when(name == "gh", F.try_element_at(words, F.lit(2)))
+        whole = F.when(name.isin(SUB_COMMANDS), F.concat_ws(" ", name, second, third)).otherwise(name)
+        return F.when(name.rlike(r"^[\w.+-]+$") & ~name.isin(SKIP_PROGRAMS) & ~name.rlike(DATA_FILE), whole)
+
+    return F.try_element_at(F.filter(F.transform(parts, program), lambda p: p.isNotNull()), F.lit(1))
 
 
 def jaccard(a: Column, b: Column) -> Column:

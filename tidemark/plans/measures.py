@@ -178,8 +178,15 @@ query()(redact_counts)
 
 @query("""SELECT regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host, count(*) AS n, count_if(contains(url, '?')) AS with_query, count_if(contains(url, '#')) AS with_fragment FROM pages GROUP BY 1""", longs=("with_query", "with_fragment"))
 def url_hosts(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "pages").select(X.host(F.col("url")).alias("host"), X.url_category(F.col("url")).alias("c"))
-    return p.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("c", "query")).alias("with_query"), F.count_if(F.array_contains("c", "fragment")).alias("with_fragment"))
+    p = table(spark, sf, "pages").select(X.host(F.col("url")).alias("host"), "url")
+    return p.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("url", F.lit("?"))).alias("with_query"), F.count_if(F.contains("url", F.lit("#"))).alias("with_fragment"))
+
+
+@query(f"""WITH p AS (SELECT url, regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, '?' || regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
+c AS (SELECT unnest(list_filter(['requested: ' || host, CASE WHEN regexp_matches(q, '{X.CACHE_TAG}') THEN 'request: random tag that defeats caching' END, CASE WHEN regexp_matches(url, '{X.REDIRECT}') THEN 'request: routed through a redirect service' END, CASE WHEN contains(path[2:], '//') THEN 'request: unusual path (doubled slashes)' END], lambda x: x IS NOT NULL)) AS category FROM p) SELECT category, count(*) AS n FROM c GROUP BY category""")
+def request_categories(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "pages").select(F.explode(X.url_category(F.col("url"))).alias("category"))
+    return c.filter(F.col("category") != "request: query shaped like code injection").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH c AS (SELECT CASE WHEN regexp_full_match(v, '-?\\d{1,9}') THEN 'number' WHEN regexp_full_match(v, '[A-Za-z]+') THEN 'word' WHEN regexp_full_match(v, '[A-Za-z0-9_.|:/-]+') THEN 'token' ELSE 'other' END AS form FROM (SELECT c_mktsegment AS v FROM customer UNION ALL SELECT c_name FROM customer UNION ALL SELECT c_acctbal::VARCHAR FROM customer UNION ALL SELECT p_type FROM part)) SELECT form, count(*) AS n FROM c GROUP BY form""")
