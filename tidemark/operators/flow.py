@@ -44,7 +44,7 @@ def strata(units: DataFrame, has: DataFrame, edges: DataFrame, week: Column) ->
     own = has.select(F.col("unit").alias("v"), "feature").distinct().join(v.select("v"), "v", "left_semi").withColumn("h", F.lit(1))
     cell = exposed.join(own, ["v", "feature"], "full").join(v, "v").groupBy("feature", "week")
     cell = cell.agg(F.count("e").alias("n1"), F.count_if(F.col("e").isNotNull() & F.col("h").isNotNull()).alias("a"), F.count_if(F.col("e").isNull()).alias("c"))
-    return cell.join(F.broadcast(total), "week").select("feature", "week", "a", "n1", "c", (F.col("n") - F.col("n1")).alias("n0"))
+    return cell.join(total, "week").select("feature", "week", "a", "n1", "c", (F.col("n") - F.col("n1")).alias("n0"))
 
 
 def observed_expected(units: DataFrame, has: DataFrame, edges: DataFrame, week: Column) -> DataFrame:
@@ -88,15 +88,21 @@ def transmission(units: DataFrame, has: DataFrame, edges: DataFrame, week: Colum
 
 def adoption(units: DataFrame, has: DataFrame, edges: DataFrame, week: Column) -> DataFrame:
     """As transmission, over targets whose actor hasn't shown the feature before; unconnected targets count as unexposed."""
-    shown = has.join(units, "unit")
-    first = shown.groupBy("feature", "actor").agg(F.min("t").alias("first_t"))
-    targets = units.select("unit", "actor", "t", week.alias("week")).crossJoin(F.broadcast(has.select("feature").distinct()))  # features: a short list
-    open_ = targets.join(first, ["feature", "actor"], "left").filter("first_t is null or t <= first_t")
-    exposed = edges.join(has.withColumnRenamed("unit", "u"), "u").select(F.col("v").alias("unit"), "feature").distinct().withColumn("e", F.lit(1))
-    own = has.select("unit", "feature").distinct().withColumn("h", F.lit(1))
-    cell = open_.join(exposed, ["unit", "feature"], "left").join(own, ["unit", "feature"], "left")
-    e, h = F.col("e").isNotNull(), F.col("h").isNotNull()
-    s = cell.groupBy("feature", "week").agg(F.count_if(e & h).alias("a"), F.count_if(e).alias("n1"), F.count_if(~e & h).alias("c"), F.count_if(~e).alias("n0"))
+    u = units.select("unit", "actor", "t", week.alias("week"))
+    own = has.select("unit", "feature").distinct()
+    first = own.join(u, "unit").groupBy("feature", "actor").agg(F.min("t").alias("first_t"))
+    exposed = edges.join(has.withColumnRenamed("unit", "u"), "u").select(F.col("v").alias("unit"), "feature").distinct()
+
+    def before(pairs: DataFrame) -> DataFrame:
+        """The pairs of a unit and a feature that its actor hasn't shown before."""
+        return pairs.join(u, "unit").join(first, ["feature", "actor"], "left").filter("first_t is null or t <= first_t")
+
+    seen = before(exposed.join(own.withColumn("h", F.lit(1)), ["unit", "feature"], "left")).groupBy("feature", "week").agg(F.count(F.lit(1)).alias("n1"), F.count("h").alias("a"))
+    shown = before(own).groupBy("feature", "week").agg(F.count(F.lit(1)).alias("shown"))
+    past = u.join(first, "actor").filter("t > first_t").groupBy("feature", "week").agg(F.count(F.lit(1)).alias("past"))
+    total = u.groupBy("week").agg(F.count(F.lit(1)).alias("n"))
+    cell = seen.join(total, "week").join(shown, ["feature", "week"], "left").join(past, ["feature", "week"], "left").na.fill(0, ["shown", "past"])
+    s = cell.select("feature", "week", "a", "n1", (F.col("shown") - F.col("a")).alias("c"), (F.col("n") - F.col("past") - F.col("n1")).alias("n0"))
     return mantel_haenszel(s, ["feature"])
 
 
@@ -109,7 +115,7 @@ def coupling(units: DataFrame, has: DataFrame, edges: DataFrame, week: Column, l
     n1 = seen.groupBy("a_feature", "week").agg(F.count(F.lit(1)).alias("n1"))
     b = own.groupBy("b_feature", "week").agg(F.count(F.lit(1)).alias("b"))
     a = seen.join(own.drop("week"), "v").groupBy("a_feature", "b_feature", "week").agg(F.count(F.lit(1)).alias("a"))
-    grid = n1.join(b, "week").filter("a_feature <> b_feature").join(a, ["a_feature", "b_feature", "week"], "left").na.fill(0, ["a"]).join(F.broadcast(n), "week")
+    grid = n1.join(b, "week").filter("a_feature <> b_feature").join(a, ["a_feature", "b_feature", "week"], "left").na.fill(0, ["a"]).join(n, "week")
     s = grid.select("a_feature", "b_feature", "week", "a", "n1", (F.col("b") - F.col("a")).alias("c"), (F.col("n") - F.col("n1")).alias("n0"))
     return mantel_haenszel(s, ["a_feature", "b_feature"]).filter((F.col("exposed_with") >= least) & (F.col("lo") > above))
 

@@ -1,20 +1,16 @@
-"""A ledger of hypotheses with gates, and verdict rules."""
+"""A ledger of hypotheses with gates."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .select import QueryError
 
 
-def verdict(cases: Column, value: Column, bar: Column, least: int = 10) -> Column:
-    return F.when(cases < least, F.lit("insufficient")).when(value > bar, F.lit("holds")).otherwise(F.lit("not_holds"))
-
-
 @dataclass
 class Hypothesis:
     id: int

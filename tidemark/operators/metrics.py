@@ -50,7 +50,7 @@ def outliers(events: DataFrame, label: str = "kind", by: str = "actor", least: i
     own = events.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
     kinds = events.groupBy(label).agg(F.count(F.lit(1)).alias("all_k"))
     total = events.agg(F.count(F.lit(1)).alias("all_n"))
-    joined = cell.join(own, by).join(F.broadcast(kinds), label).crossJoin(F.broadcast(total))
+    joined = cell.join(own, by).join(kinds, label).crossJoin(F.broadcast(total))
     share, base = F.col("k") / F.col("n"), (F.col("all_k") - F.col("k")) / F.nullif(F.col("all_n") - F.col("n"), F.lit(0))
     out = joined.select(by, label, "n", "k", share.alias("share"), base.alias("base"))
     return out.filter((F.col("n") >= least) & (F.col("share") >= F.greatest(factor * F.col("base"), F.col("base") + margin)))
@@ -67,7 +67,7 @@ def distinctive(events: DataFrame, period: Column, label: str = "kind", lift: fl
     e = events.withColumn("period", period)
     cell = e.groupBy("period", label).agg(F.count(F.lit(1)).alias("n"))
     own, kinds, total = e.groupBy("period").agg(F.count(F.lit(1)).alias("v")), e.groupBy(label).agg(F.count(F.lit(1)).alias("all_k")), e.agg(F.count(F.lit(1)).alias("all_v"))
-    joined = cell.join(own, "period").join(F.broadcast(kinds), label).crossJoin(F.broadcast(total))
+    joined = cell.join(own, "period").join(kinds, label).crossJoin(F.broadcast(total))
     value = (F.col("n") / F.col("v")) / (F.col("all_k") / F.col("all_v"))
     return joined.select("period", label, "n", value.alias("lift"), (value * F.log1p("n")).alias("score")).filter((F.col("lift") >= lift) & (F.col("n") >= least))
 

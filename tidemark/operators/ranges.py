@@ -59,7 +59,7 @@ def after_pairs(events: DataFrame, width: int, off: tuple[int, ...] = (-3, -2, 2
     totals = e.groupBy(F.col("label").alias("a")).agg(F.count(F.lit(1)).alias("n_a"))
     active = seen.filter("k <> 0").select("a", "wid", "k").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("base_windows"))
     hits = seen.filter("a <> b").groupBy("a", "b").agg(F.count_if(F.col("k") == 0).alias("followed"), F.count_if(F.col("k") != 0).alias("base_hits"))
-    return hits.join(F.broadcast(totals), "a").join(F.broadcast(active), "a", "left").na.fill(0, ["base_windows"])
+    return hits.join(totals, "a").join(active, "a", "left").na.fill(0, ["base_windows"])
 
 
 def contact_spread(events: DataFrame, contacts: DataFrame, uses: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunks, cluster, flow, influence, ledger, sequences
+from ..operators import chunks, cluster, flow, influence, sequences
 from ..session import cut, table
 from ..sources import views
 from .measures import R6
@@ -142,12 +142,6 @@ def calendar_skeleton(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.calendar(views.events(spark, sf))
 
 
-@query("""WITH EV , p AS (SELECT kind, count(*) AS n, count_if(value > 50) AS k FROM ev GROUP BY kind) SELECT kind, n, k, CASE WHEN n < 10 THEN 'insufficient' WHEN k / n > 0.5 THEN 'holds' ELSE 'not_holds' END AS verdict FROM p""", longs=("k",))
-def verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.events(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("k"))
-    return p.withColumn("verdict", ledger.verdict(F.col("n"), F.col("k") / F.col("n"), F.lit(0.5)))
-
-
 for _f in (regimes, influence_links, pca_layout, kmeans_kinds, screener_scores, bootstrap_ci, record_chunks):
     query()(_f)
 
