@@ -29,7 +29,7 @@ from ..session import cut, shuffle_partitions
 from .bpe import RankEncoder, pre_tokens, ranks_of
 from .kernels import U64, chunks, distinct, splitmix
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _ENCODERS: dict[bytes, RankEncoder] = {}
 
 
