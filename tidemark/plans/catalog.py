@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import boards, claims, evidence, flows, measures, more, selection, sequence
+from . import boards, cards, claims, evidence, flows, measures, more, selection, sequence
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "boards", "claims", "evidence", "flows", "measures", "more", "selection", "sequence"]
+__all__ = ["QUERIES", "SQL", "boards", "cards", "claims", "evidence", "flows", "measures", "more", "selection", "sequence"]

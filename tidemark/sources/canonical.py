@@ -78,11 +78,11 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_index(folder: str, **tables: DataFrame) -> None:
-    """Each table as parquet; events by day, so that time windows prune partitions."""
+    """Each table as parquet; events by day, so that time windows prune partitions. Ranges of time deal the rows out, so a busy day has several files."""
     for name, df in tables.items():
         if name == "events":
             df = df.withColumn("day", F.to_date(F.timestamp_seconds("t")))
-            df.repartition("day").sortWithinPartitions("t", "id").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/{name}")
+            df.repartitionByRange("day", "t", "id").sortWithinPartitions("day", "t", "id").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
