@@ -212,3 +212,34 @@ def test_main_texts_have_no_markup(spark):
     known = {r["page_id"]: html.unescape(re.sub(r"<[^>]*>", " ", r["html"] or "")) for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     for r in got:
         assert all(w in known[r["page_id"]] for w in r["text"].split()[:50])
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(k % 40 if k % 7 else None, f"t{k}", k, k, k) for k in range(200)], "doc_id long, text string, slot int, shard int, part int")
+    sharding.write_shards(rows, str(tmp_path / "out"), files=2)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.select(rows.columns).collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    placed = {r["doc_id"]: r["shard"] for r in sharding.place(rows).collect()}
+    assert all(placed[r["doc_id"]] == r["_shard"] for r in got.collect())
+    sharding.write_shards(rows.limit(0), str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        sharding.write_shards(rows.withColumn("_shard", F.lit(1)), str(tmp_path / "clash"))
+
+
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    """Null texts and labels, repeated and null ids, empty tables: every stage has a defined result."""
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    rows = [(k, " ".join(f"w{rng.randrange(90)}" for _ in range(40)) if k % 9 else None, "en", "s", 1) for k in range(60)] + [(None, "x y z", None, None, None), (5, "a b c", "en", "t", 3), (5, "a b c", "en", "t", 3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    spark.createDataFrame([(k, k % 2 if k % 5 else None, 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            assert name == "encoding" or out.columns == corpus_pipeline.COLUMNS
+            kept = out.collect()
+            known = {r["doc_id"] for r in table.collect()}
+            assert {r["doc_id"] for r in kept} <= known
+            if name == "encoding":
+                assert len(kept) == table.count()

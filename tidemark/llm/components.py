@@ -29,7 +29,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component_id) of every id in a link with another: component_id is the least id reachable, itself included.
 
     Null ends, loops and repeated links don't count; an empty edge table gives an empty result.
@@ -37,15 +37,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null and a <> b")
     current = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(current)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         current = cut(_stars(_stars(current, True), False))
         new = _state(current)
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return current.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(roots)

@@ -59,11 +59,15 @@ def place(rows: DataFrame, key_col: str = "doc_id", shards: list[str] | None = N
     return keyed.join(F.broadcast(table), "slot").select(key_col, "slot", "shard", "shard_name")
 
 
-def write_shards(rows: DataFrame, path: str, key_col: str = "doc_id", shards: list[str] | None = None, slots: int = SLOTS, files: int = 8) -> None:
-    """Write rows partitioned by shard, each shard over several files, dealt by slot so that no task holds a whole shard."""
+def write_shards(rows: DataFrame, path: str, key_col: str = "doc_id", shards: list[str] | None = None, slots: int = SLOTS, files: int = 8, shard_col: str = "_shard") -> None:
+    """Write rows, all columns as they are, partitioned by the number of their shard, each shard over `files` files at most, so that no task holds a whole one.
+
+    Equal rows share a file. shard_col names the folders and must not be a column of rows; other names don't matter. No rows give an empty folder.
+    """
+    if shard_col in rows.columns:
+        raise ValueError(f"rows have a column {shard_col}")
     shards = [f"shard-{k:03d}" for k in range(SHARDS)] if shards is None else shards
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(i, k) for i, k in enumerate(lookup_table(shards, slots))], "_slot long, _shard int")
-    keyed = rows.withColumn("_slot", slot_of(F.col(key_col), slots)).join(F.broadcast(table), "_slot")
-    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(files)))
-    salted.repartition(len(shards) * files, "_shard", "_salt").drop("_slot", "_salt").write.partitionBy("_shard").parquet(path)
+    table = rows.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, slots))), "slot long, shard int")
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), slot_of(F.col(f"`{key_col}`"), slots).alias("slot"))
+    dealt = packed.join(F.broadcast(table), "slot").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(files)))  # slots rows of two numbers
+    dealt.repartition(len(shards) * files, "shard", "part").select("row.*", F.col("shard").alias(shard_col)).write.partitionBy(shard_col).parquet(path)
