@@ -159,3 +159,49 @@ def sampled_to_bytes(rows: DataFrame, key: str, limit: int) -> DataFrame:
 def reciprocal_rates(answers: DataFrame) -> DataFrame:
     """For each src and dst: edges and the share that dst answered. answers: src, dst, event_id, r_id."""
     return answers.groupBy("src", "dst").agg(F.count_distinct("event_id").alias("n"), F.count("r_id").alias("answered"), F.avg(F.col("r_id").isNotNull().cast("int")).alias("rate"))
+
+
+def placed_by_neighbours(known: DataFrame, links: DataFrame, rounds: int = 4) -> DataFrame:
+    """unit, value, round: the known units (unit, value) in round 0; then in each round those that a link (a, b, w), either way, ties to a placed one take the value of the
+    strongest tie, ties by the least neighbour."""
+    both = links.select("a", "b", "w").union(links.select("b", "a", "w"))
+    placed = known.select("unit", "value", F.lit(0).alias("round"))
+    for k in range(1, rounds + 1):
+        near = both.join(placed.select(F.col("unit").alias("b"), "value"), "b").join(placed.select(F.col("unit").alias("a")), "a", "left_anti")
+        new = near.groupBy(F.col("a").alias("unit")).agg(F.min_by("value", F.struct(-F.col("w"), F.col("b"))).alias("value"))
+        placed = cut(placed.union(new.select("unit", "value", F.lit(k).alias("round"))))
+    return placed
+
+
+def folded_middle(events: DataFrame, key: str, label: str, most: int = 14) -> DataFrame:
+    """The lines of a key for a judge: all if there are `most` at most, else the first and last halves with one line between that counts what is hidden. key, line, text."""
+    w, whole = Window.partitionBy(key).orderBy("t", "id"), Window.partitionBy(key)
+    half = most // 2
+    rows = events.select(key, F.col(label).alias("text"), F.row_number().over(w).alias("line"), F.count(F.lit(1)).over(whole).alias("n"))
+    shown = rows.filter((F.col("n") <= most) | (F.col("line") <= half) | (F.col("line") > F.col("n") - (most - half)))
+    hidden = rows.filter((F.col("n") > most) & (F.col("line") == half + 1)).withColumn("text", F.format_string("%d hidden", F.col("n") - most))
+    return shown.select(key, "line", "text").union(hidden.select(key, "line", "text"))
+
+
+def hash_chain(stages: DataFrame, key: str) -> DataFrame:
+    """key, place, hash of the stages (key, place, payload) of a run: each hash is the SHA-256 of the one before and the payload, so a replay differs from the first stage on
+    that differs. A run has a few stages."""
+    packed = stages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "payload"))).alias("rows"))
+    zero = F.array(F.lit("")).cast("array<string>")
+    chain = F.aggregate("rows", zero, lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x["payload"]), 256))))
+    hashes = F.arrays_zip(F.col("rows.place").alias("place"), F.expr("slice(chain, 2, size(rows))").alias("hash"))
+    return packed.withColumn("chain", chain).select(key, F.explode(hashes).alias("x")).select(key, F.col("x.place").alias("place"), F.col("x.hash").alias("hash"))
+
+
+def plan_faults(scenes: DataFrame, cites: DataFrame, events: DataFrame, most: int) -> DataFrame:
+    """scene, fault: what breaks a plan's rules; no rows if it is sound. scenes: scene, start, end; cites: scene, id; events: id, t.
+
+    backwards: it ends before it starts; no evidence: it cites nothing; too many: more than `most` ids; unknown: an id that no event has; outside: an event that lies
+    outside its span.
+    """
+    known = cites.distinct().join(events.select("id", "t"), "id", "left").join(scenes, "scene")
+    n = cites.groupBy("scene").agg(F.count_distinct("id").alias("n"))
+    faults = scenes.filter("end < start").select("scene", F.lit("backwards").alias("fault"))
+    faults = faults.union(scenes.join(n, "scene", "left_anti").select("scene", F.lit("no evidence"))).union(n.filter(F.col("n") > most).select("scene", F.lit("too many")))
+    faults = faults.union(known.filter("t is null").select("scene", F.lit("unknown"))).union(known.filter("t < start or t > end").select("scene", F.lit("outside")))
+    return faults.distinct()

@@ -154,3 +154,40 @@ def thinned_to_bytes(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH EV , {REPLIES}, m AS (SELECT a.src, a.dst, a.event_id, count(b.event_id) > 0 AS ok FROM ad a LEFT JOIN ad b ON b.src = a.dst AND b.dst = a.src AND b.t > a.t AND b.t <= a.t + 172800 GROUP BY a.src, a.dst, a.t, a.event_id) SELECT src, dst, count(DISTINCT event_id) AS n, count_if(ok) AS answered, round(avg(CASE WHEN ok THEN 1 ELSE 0 END), 6) AS rate FROM m GROUP BY ALL", longs=("answered",))
 def answered_rates(spark: SparkSession, sf: str) -> DataFrame:
     return R6(cards.reciprocal_rates(relations.answered(_edges(spark, sf), 172800)), "rate")
+
+
+def _placed_sql(rounds: int) -> str:
+    steps = []
+    for k in range(1, rounds + 1):
+        steps.append(f"p{k} AS MATERIALIZED (SELECT * FROM p{k - 1} UNION ALL SELECT a, arg_min(value, (-w, b)), {k} FROM bo JOIN p{k - 1} p ON p.unit = bo.b WHERE a NOT IN (SELECT unit FROM p{k - 1}) GROUP BY a)")
+    return ", ".join(steps)
+
+
+@query(f"WITH EV , l AS (SELECT actor AS a, channel::INTEGER + 1000 AS b, count(*) AS w FROM ev GROUP BY ALL), bo AS (SELECT a, b, w FROM l UNION ALL SELECT b, a, w FROM l), p0 AS (SELECT DISTINCT actor AS unit, 'k' || actor % 3 AS value, 0 AS round FROM ev WHERE actor % 10 = 1), {_placed_sql(4)} SELECT unit, value, round FROM p4")
+def placed_units(spark: SparkSession, sf: str) -> DataFrame:
+    e = views.events(spark, sf)
+    links = e.groupBy(F.col("actor").alias("a"), (F.col("channel").cast("int") + 1000).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("w"))
+    known = e.filter("actor % 10 = 1").select(F.col("actor").alias("unit"), F.concat(F.lit("k"), F.col("actor") % 3).alias("value")).distinct()
+    return cards.placed_by_neighbours(known, links)
+
+
+@query("WITH EV , r AS (SELECT channel, kind AS text, row_number() OVER (PARTITION BY channel ORDER BY t, id) AS line, count(*) OVER (PARTITION BY channel) AS n FROM ev) SELECT channel, CAST(line AS INTEGER) AS line, text FROM r WHERE n <= 6 OR line <= 3 OR line > n - 3 UNION ALL SELECT channel, CAST(line AS INTEGER), (n - 6) || ' hidden' FROM r WHERE n > 6 AND line = 4")
+def judge_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return cards.folded_middle(views.events(spark, sf), "channel", "kind", 6)
+
+
+@query("WITH RECURSIVE l AS (SELECT l_orderkey AS run, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS place, l_partkey::VARCHAR AS payload FROM lineitem), r AS (SELECT run, 1::BIGINT AS place, sha256(payload) AS hash FROM l WHERE place = 1 UNION ALL SELECT l.run, l.place, sha256(r.hash || l.payload) FROM r JOIN l ON l.run = r.run AND l.place = r.place + 1) SELECT run, CAST(place AS INTEGER) AS place, hash FROM r")
+def replay_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    stages = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run"), F.row_number().over(w).alias("place"), F.col("l_partkey").cast("string").alias("payload"))
+    return cards.hash_chain(stages, "run")
+
+
+@query("""WITH EV , s AS (SELECT DISTINCT channel AS scene, 1704067200 + channel::INTEGER * 20000 AS start, 1704067200 + 1500000 - CASE WHEN channel::INTEGER > 90 THEN 1500000 ELSE 0 END AS "end" FROM ev), c AS (SELECT channel AS scene, CASE WHEN value > 98 THEN -id ELSE id END AS id FROM ev WHERE value > 80), k AS (SELECT DISTINCT c.*, e.t, s.start, s."end" FROM c JOIN s USING (scene) LEFT JOIN ev e ON e.id = c.id), n AS (SELECT scene, count(DISTINCT id) AS n FROM c GROUP BY scene)
+SELECT scene, 'backwards' AS fault FROM s WHERE "end" < start UNION SELECT scene, 'no evidence' FROM s WHERE scene NOT IN (SELECT scene FROM n) UNION SELECT scene, 'too many' FROM n WHERE n > 3 UNION SELECT scene, 'unknown' FROM k WHERE t IS NULL UNION SELECT scene, 'outside' FROM k WHERE t < start OR t > "end" """)
+def plan_faults(spark: SparkSession, sf: str) -> DataFrame:
+    e = views.events(spark, sf)
+    number = F.col("scene").cast("int")
+    scenes = e.select(F.col("channel").alias("scene")).distinct().select("scene", (F.lit(1704067200) + number * 20000).alias("start"), (F.lit(1704067200 + 1500000) - F.when(number > 90, 1500000).otherwise(0)).alias("end"))
+    cites = e.filter("value > 80").select(F.col("channel").alias("scene"), F.when(F.col("value") > 98, -F.col("id")).otherwise(F.col("id")).alias("id"))
+    return cards.plan_faults(scenes, cites, e, 3)
