@@ -44,6 +44,7 @@ NIBBLES = 32
 MISSED = 1e-5
 CENTRES = 12
 RANGES = 16
+FEW = 2_000_000
 MINHASH_PEELS = 2
 SHINGLE_PEELS = 3
 
@@ -144,14 +145,20 @@ def _confirm(percent: int, width: int):
     return run
 
 
+def _texts_of(ids: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text of the documents whose ids are asked for. Up to FEW ids, which are counted first, go to the scan, so that other texts stay where
+    they are; beyond that texts meet ids by hash."""
+    ids = cut(ids.distinct())
+    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge"), "id", "left_semi")
+
+
 def confirm(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: str, percent: int = 75, width: int = 5) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts' shingle sets have 100 * intersection >= percent * union, the words themselves compared.
 
-    Only the texts that pairs ask for move: Spark sends their ids to the scan where it knows them to be few, else by hash. Both joins
-    then use one exchange; a side with many pairs is split by the adaptive skew join.
+    Only the texts that pairs ask for move. Both joins use one exchange of them; a side with many pairs is split by the adaptive skew join.
     """
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    texts = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), documents, id_col, text_col)
     first = pairs.hint("merge").join(texts.hint("merge"), F.col("b") == F.col("id")).select("a", "b", F.col("text").alias("text_b"))
     both = first.hint("merge").join(texts.hint("merge"), F.col("a") == F.col("id"))
     return both.select("a", "b", F.col("text").alias("text_a"), "text_b").mapInArrow(_confirm(percent, width), "a long, b long")
@@ -195,8 +202,7 @@ def _bounded(members: DataFrame, documents: DataFrame, id_col: str, text_col: st
     members = members.join(left, "m", "left_semi").drop("groups")
     need = members.groupBy("m").agg(F.min(F.ceil(F.col("n") * percent / 100)).alias("least"))
 
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wanted = texts.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    wanted = _texts_of(members.select(F.col("rep").alias("id")), documents, id_col, text_col)
     sets = wanted.mapInArrow(_sets(width), "rep long, s long, sets array<long>").join(members, ["rep", "s"])
     shingles = sets.select("m", "c", F.explode("sets").alias("h"))
     for k in range(SHINGLE_PEELS):
