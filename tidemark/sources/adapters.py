@@ -95,3 +95,19 @@ def judge_answers(answers: DataFrame, labels: DataFrame) -> DataFrame:
     """Answers (judge, label, feature) by unit; labels (label, unit) that aren't known are counted, not kept."""
     joined = answers.join(labels, "label", "left")
     return joined.groupBy("judge").agg(F.count_if(F.col("unit").isNotNull()).alias("kept"), F.count_if(F.col("unit").isNull()).alias("dropped"))
+
+
+def write_batches(units: DataFrame, folder: str) -> None:
+    """One folder of JSON lines for each batch, the units in it under labels: U1, U2, ... units: batch, unit, text. A batch is what one reader is handed."""
+    w = Window.partitionBy("batch").orderBy("unit")
+    labelled = units.withColumn("label", F.concat(F.lit("U"), F.row_number().over(w)))
+    labelled.write.mode("overwrite").partitionBy("batch").json(folder)
+
+
+def read_answers(answers: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Marks (judge, batch, feature, unit) from answers (judge, batch, json: a list of {label, feature}) on written batches, and by judge how many were kept and dropped for
+    want of such a label. Malformed answers have no marks."""
+    marks = answers.select("judge", "batch", F.explode(F.coalesce(F.from_json("json", "array<struct<label:string,feature:string>>"), F.array())).alias("m")).select("judge", "batch", "m.label", "m.feature")
+    known = marks.join(batches.select("batch", "label", "unit"), ["batch", "label"], "left")
+    counts = known.groupBy("judge").agg(F.count("unit").alias("kept"), F.count_if(F.col("unit").isNull()).alias("dropped"))
+    return known.filter("unit is not null").select("judge", "batch", "feature", "unit"), counts
