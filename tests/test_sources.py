@@ -65,3 +65,19 @@ def test_export_and_split(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "bundle")).count() == 100
     train, test, work = canonical.split(events, {"tags": spark.createDataFrame([("3",), ("70",)], "event_id string")}, 50)
     assert train.count() == 50 and test.count() == 50 and [r["event_id"] for r in work["tags"].collect()] == ["3"]
+
+
+def test_every_tool_runs(spark):
+    from tidemark.api import Session
+    from tidemark.operators import relations
+
+    rows = [(str(k), f"a{k % 5}", ["ask", "answer", "note"][k % 3], f"c{k % 4}", k * 600, "text", "{}") for k in range(200)]
+    events = relations.with_reply_to(spark.createDataFrame(rows, "id string, actor string, kind string, channel string, t long, text string, meta string"))
+    session = Session(events)
+    given = {"actor": "a1", "a": "ask", "b": "answer", "kind": "ask", "ids": ["3"], "channel": "c1"}
+    for name in ("claim", "co_occurs", "spread", "reactions", "map", "node", "neighbourhood", "before", "started_stopped", "first_changes", "turning_points", "periods", "grain", "leads", "stretches", "lines", "ends", "sample"):
+        session.call(name, **{k: v for k, v in given.items() if k in session.tools[name].arguments}).collect()
+    one = session.call("claim", a="ask", b="answer", width=3600, scope="others_same_place").collect()[0]
+    assert one["cases"] > 0 and one["verdict"] in ("holds", "not_holds", "insufficient")
+    for metric, params in (("after_then", {"a": "ask", "b": "note"}), ("spread_with_base", {"kind": "ask"}), ("answered", {}), ("outliers", {}), ("channel_reaction", {"trigger": "ask", "response": "answer"})):
+        assert session.call("run_metric", metric=metric, params=params).columns

@@ -99,7 +99,7 @@ def grain(events: DataFrame, least: int = 20, days: int = 6) -> DataFrame:
 def lead_profile(events: DataFrame, by: str, share: float = 0.8) -> DataFrame:
     """For each value of by: n, the leading actor where it has `share` of the events or more, else null (pooled)."""
     cell = events.groupBy(by, "actor").agg(F.count(F.lit(1)).alias("c"))
-    out = cell.groupBy(by).agg(F.sum("c").alias("n"), F.max_by("actor", F.struct("c", -F.col("actor"))).alias("top"), F.max("c").alias("most"))
+    out = cell.groupBy(by).agg(F.sum("c").alias("n"), F.min_by("actor", F.struct(-F.col("c"), F.col("actor"))).alias("top"), F.max("c").alias("most"))
     return out.select(by, "n", F.when(F.col("most") >= share * F.col("n"), F.col("top")).alias("lead"))
 
 
