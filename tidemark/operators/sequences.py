@@ -41,23 +41,21 @@ def gap_sessions(df: DataFrame, keys: list[str], gap: int, name: str = "session"
 def stretches(df: DataFrame, key: str = "actor", gap: int = 900, span: int = 3600) -> DataFrame:
     """One row per stretch: key, start_t, end_t, n, ids. A stretch ends at a pause over gap, or when an event is over span after its start.
 
-    Pauses are cut by a window; only inside an island without pauses, the span cuts, which depend on earlier ones, are folded.
+    Pauses are cut by a window. Inside an island without pauses that is longer than span the cuts depend on earlier ones: a fold over its times
+    finds where stretches start, and rows take the last start before them. No row is copied more than once.
     """
     islands = gap_sessions(df.select(key, "t", "id"), [key], gap, "island")
-    sorted_ = islands.groupBy(key, "island").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("xs"))
-    one = lambda x: F.struct(x["t"].alias("start_t"), x["t"].alias("end_t"), F.array(x["id"]).alias("ids"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["start_t"].alias("start_t"), x["t"].alias("end_t"), F.concat(last["ids"], F.array(x["id"])).alias("ids"))
-        return F.when((F.size(acc) == 0) | (x["t"] - last["start_t"] > span), F.concat(acc, F.array(one(x)))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined)))
-
-    kind = "array<struct<start_t:bigint,end_t:bigint,ids:array<bigint>>>"
-    short = sorted_.filter(F.element_at("xs", -1)["t"] - F.col("xs")[0]["t"] <= span)
-    whole = F.array(F.struct(F.col("xs")[0]["t"].alias("start_t"), F.element_at("xs", -1)["t"].alias("end_t"), F.transform("xs", lambda x: x["id"]).alias("ids")))
-    long = sorted_.filter(F.element_at("xs", -1)["t"] - F.col("xs")[0]["t"] > span)
-    folded = short.select(key, whole.cast(kind).alias("s")).union(long.select(key, F.aggregate("xs", F.array().cast(kind), step).alias("s")))
-    return folded.select(key, F.explode("s").alias("s")).select(key, "s.start_t", "s.end_t", F.size("s.ids").cast("long").alias("n"), "s.ids")
+    island = [key, "island"]
+    times = islands.groupBy(*island).agg(F.min("t").alias("a"), F.max("t").alias("b"), F.array_sort(F.collect_set("t")).alias("ts")).filter(F.col("b") - F.col("a") > span)
+    zero = F.struct(F.col("a").alias("start"), F.array().cast("array<bigint>").alias("cuts"))
+    fold = F.aggregate("ts", zero, lambda acc, t: F.when(t - acc["start"] > span, F.struct(t.alias("start"), F.concat(acc["cuts"], F.array(t)).alias("cuts"))).otherwise(acc), lambda acc: acc["cuts"])
+    cuts = times.select(*island, F.explode(fold).alias("t")).withColumn("cut", F.lit(1))
+    w = Window.partitionBy(*island)
+    running = w.orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(F.max(F.when(F.col("cut") == 1, F.col("t"))).over(running), F.min("t").over(w))
+    rows = islands.join(cuts, [*island, "t"], "left").select(key, "island", "t", "id", start.alias("start_t"))
+    out = rows.groupBy(key, "island", "start_t").agg(F.max("t").alias("end_t"), F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("t", "id"))), lambda x: x["id"]).alias("ids"))
+    return out.select(key, "start_t", "end_t", "n", "ids")
 
 
 def episodes(df: DataFrame, keys: list[str], pause: int, time: str = "t", order: str = "id") -> DataFrame:
