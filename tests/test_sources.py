@@ -81,3 +81,14 @@ def test_every_tool_runs(spark):
     assert one["cases"] > 0 and one["verdict"] in ("holds", "not_holds", "insufficient")
     for metric, params in (("after_then", {"a": "ask", "b": "note"}), ("spread_with_base", {"kind": "ask"}), ("answered", {}), ("outliers", {}), ("channel_reaction", {"trigger": "ask", "response": "answer"})):
         assert session.call("run_metric", metric=metric, params=params).columns
+
+
+def test_text_index_on_disk(spark, tmp_path):
+    from tidemark.operators import reuse
+
+    posts = spark.createDataFrame([(1, "The cat, the dog"), (2, "a dog the cat"), (3, None), (4, "")], "id long, text string")
+    canonical.write_text_index(str(tmp_path), reuse.text_index(posts), 8)
+    index = canonical.open_text_index(spark, str(tmp_path), ["the", "dog"], 8)
+    assert {r["term"] for r in index.collect()} == {"the", "dog"}
+    assert {r["id"]: r["hits"] for r in reuse.indexed(index, ["the", "dog"]).collect()} == {1: 2, 2: 1}
+    assert {r["id"]: r["hits"] for r in reuse.indexed(index, ["the", "dog"], phrase=True).collect()} == {1: 1}

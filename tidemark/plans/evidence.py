@@ -184,3 +184,16 @@ def number_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """The first numbers, by value as text, that a source's texts name."""
     n = views.posts(spark, sf).select(F.col("actor").alias("source"), X.number_tokens(F.col("text")).alias("n"))
     return n.groupBy("source").agg(F.array_join(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("n")))), 1, 5), " ").alias("numbers"))
+
+
+TERMS = "tk AS (SELECT doc_id, regexp_extract_all(lower(text), '([\\pL\\pN]+)', 1) AS ws FROM documents)"
+
+
+@query(f"WITH {TERMS} SELECT doc_id AS id, CAST(len(list_filter(ws, lambda x: x = 'license')) AS BIGINT) AS hits FROM tk WHERE list_contains(ws, 'license') AND list_contains(ws, 'the')")
+def indexed_words(spark: SparkSession, sf: str) -> DataFrame:
+    return reuse.indexed(reuse.text_index(views.posts(spark, sf)), ["license", "the"])
+
+
+@query(f"WITH {TERMS}, p AS (SELECT doc_id AS id, CAST(len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the')) AS BIGINT) AS hits FROM tk) SELECT id, hits FROM p WHERE hits > 0")
+def indexed_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    return reuse.indexed(reuse.text_index(views.posts(spark, sf)), ["of", "the"], phrase=True)

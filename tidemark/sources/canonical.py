@@ -87,6 +87,19 @@ def write_index(folder: str, **tables: DataFrame) -> None:
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def write_text_index(folder: str, index: DataFrame, buckets: int = 64) -> None:
+    """The words of texts (operators.reuse.text_index) in folders by hash of the word, sorted, so that a request reads a few row groups."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets))
+    index.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
+
+
+def open_text_index(spark: SparkSession, folder: str, words: list[str], buckets: int = 64) -> DataFrame:
+    """The index rows of some words: only their folders are read."""
+    wanted = [w.lower() for w in words]
+    places = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(buckets)).alias(str(k)) for k, w in enumerate(wanted)]).first()
+    return spark.read.parquet(f"{folder}/terms").filter(F.col("bucket").isin(sorted({int(p) for p in places})) & F.col("term").isin(wanted))
+
+
 def open_index(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     out = {n: spark.read.parquet(f"{folder}/{n}") for n in names}
     for n, df in out.items():
