@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -67,7 +67,7 @@ def _view(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(LANE, np.uint8)]), strides=(1,))
 
 
-def segment_hash(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, budget: int = 1 << 20) -> np.ndarray:
+def segment_hash(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, budget: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash of each non-empty segment data[start : start + len]: the sum of its mixed lanes, each under the key of its place.
 
     Segments of one length up to eight bytes have different hashes if they differ. Longer ones may collide by chance, so
@@ -80,7 +80,7 @@ def segment_hash(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, budget:
     return splitmix(out + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, hashed: np.ndarray | None = None, budget: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, hashed: np.ndarray | None = None, budget: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A segment of each distinct byte string, its hash, and the number of its byte string for each segment.
 
     Segments of one hash are compared byte by byte with the first of them; those that differ are told apart by their bytes.
@@ -193,6 +193,7 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.n
         j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1))
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    pa.default_memory_pool().release_unused()  # workers stay for later stages, what they don't use shouldn't
 
 
 def int64(values: np.ndarray) -> pa.Array:
