@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Merger, merger_of_json, pre_tokens
-from .kernels import chunks, distinct, int64
+from .kernels import CHUNK, chunks, distinct, int64
 
-KEPT = 64 << 20
+KEPT = 192 << 20
 _MODELS: dict[bytes, tuple[Merger, list[bytes], dict[bytes, int]]] = {}
 
 
@@ -87,7 +87,7 @@ def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 512, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shipped.value)
         for batch in batches:
-            for i, j, data, offsets in chunks(batch.column(1)):
+            for i, j, data, offsets in chunks(batch.column(1), 4 * CHUNK):
                 tokens = count_chunk(data, offsets, model)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), int64(np.diff(offsets)), int64(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"]
