@@ -123,8 +123,9 @@ def _centres(points: np.ndarray, count: int, threshold: float, trees: int, seed:
         middle = _unit(points[: len(few)][close[k]].mean(0, keepdims=True))
         if not len(middles) or (middles @ middle[0]).max() < apart:
             middles = np.concatenate([middles, middle])
-    x = points[rng.choice(len(points), min(MADE, len(points)), replace=False)]
-    z = points[rng.integers(0, len(points), len(x))]
+    x, drawable = points[-MADE:], points[: -MADE if len(points) >= max(2 * MADE, count + MADE) else None]  # a centre is no typical row
+    # directions spread as the sample is; those to single rows would lean to the centres, which are rows themselves
+    z = rng.standard_normal((len(x), min(MADE, len(points)))) @ points[rng.choice(len(points), min(MADE, len(points)), replace=False)]
     z = z - (z * x).sum(1, keepdims=True) * x
     some = np.linalg.norm(z, axis=1) > 1e-6
     x, z = x[some], _unit(z[some])
@@ -133,7 +134,7 @@ def _centres(points: np.ndarray, count: int, threshold: float, trees: int, seed:
     best, least = None, np.inf
     for _ in range(max(1, trees)):
         drawn = middles
-        for c in points[rng.permutation(len(points))[:count]]:
+        for c in drawable[rng.permutation(len(drawable))[:count]]:
             if len(drawn) >= count:
                 break
             if not len(drawn) or (drawn @ c).max() < apart:
