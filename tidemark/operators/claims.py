@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import _hits
+from ..session import cut
+from .ranges import near_windows
 
 OFF = (-3, -2, 2, 3)
 RESAMPLES = 300
@@ -22,25 +23,18 @@ def after_then_cases(events: DataFrame, a: Column, b: Column, width: int, scope:
     if scope == "target":
         known = members.select(F.col("key").alias("target")).distinct()
         keyed = cases.join(targets.select("id", "target").distinct().join(known, "target", "left_semi"), "id").filter("target <> ta").withColumnRenamed("target", "key")
-        groups = keyed.groupBy("id").agg(F.min("key").alias("group"))
     else:
         keyed = cases.withColumn("key", F.col("channel") if scope == "others_same_place" else F.col("ta")).filter("key is not null")
-        groups = keyed.select("id", F.col("ta").alias("group"))
-    spans = members.groupBy("key").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
-    span = keyed.join(spans, "key").groupBy("id").agg(F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"))
-    w = keyed.join(span, "id").withColumn("k", F.explode(F.array(*[F.lit(k) for k in (0, *OFF)])))
-    w = w.withColumn("lo", F.col("t") + F.col("k") * width).withColumn("hi", F.col("lo") + width).withColumn("wid", F.struct("id", "k"))
-    w = w.filter((F.col("k") == 0) | ((F.col("lo") >= F.col("first_t")) & (F.col("hi") <= F.col("last_t")))).select("key", "wid", "lo", "hi", "ta")
-    other = F.col("_actor") != F.col("ta") if scope == "others_same_place" else None
-    active = _hits(w, members, ["key"], width, other).withColumn("active", F.lit(1))
-    hit = _hits(w, members.filter(b), ["key"], width, other).withColumn("hit", F.lit(1))
-    seen = active.join(hit, "wid", "left").select("wid.id", "wid.k", "hit")
-    own = seen.groupBy("id").agg(
-        F.count_if(F.col("k") == 0).alias("active"), F.count_if((F.col("k") == 0) & F.col("hit").isNotNull()).alias("hit"),
-        F.count_if(F.col("k") != 0).alias("base_windows"), F.count_if((F.col("k") != 0) & F.col("hit").isNotNull()).alias("base_hits"),
-    )
-    out = groups.join(cases.select("id", "t"), "id").join(own, "id", "left").na.fill(0, ["active", "hit", "base_windows", "base_hits"])
-    return out.withColumn("active", F.col("active") > 0).withColumn("hit", F.col("hit").cast("int"))
+    seen = near_windows(keyed.select("id", "t", "ta", "key"), members, ["key"], width, (0, *OFF), {"active": F.lit(True), "hit": b}, scope == "others_same_place")
+    whole = Window.partitionBy("id")
+    seen = seen.withColumn("first_t", F.min("first_t").over(whole)).withColumn("last_t", F.max("last_t").over(whole))
+    flags = []
+    for i, k in enumerate((0, *OFF)):
+        fits = F.lit(True) if k == 0 else (F.col("t") + k * width >= F.col("first_t")) & (F.col("t") + (k + 1) * width <= F.col("last_t"))
+        flags += [F.max(F.when(fits & F.col(x)[i], 1).otherwise(0)).alias(f"{x}_{i}") for x in ("active", "hit")]
+    out = seen.groupBy("id").agg(F.min("t").alias("t"), F.min("key" if scope == "target" else "ta").alias("group"), *flags)
+    added = lambda x: sum(F.col(f"{x}_{i}") for i in range(1, len(OFF) + 1)).cast("long")
+    return out.select("id", "group", "t", (F.col("active_0") > 0).alias("active"), F.col("hit_0").alias("hit"), added("active").alias("base_windows"), added("hit").alias("base_hits"))
 
 
 def after_then(cases: DataFrame, seed: int = 5) -> DataFrame:
@@ -49,6 +43,7 @@ def after_then(cases: DataFrame, seed: int = 5) -> DataFrame:
     gap_ci_low is the lower 5 % point of the gap over resamples of whole groups, by a hash instead of a generator's state; null where the gap is below
     0.05, there are fewer than 15 cases, or no cases at all.
     """
+    cases = cut(cases.select("group", "t", "active", "hit", "base_windows", "base_hits"))  # read five times
     good = cases.filter("active and base_windows > 0")
     times = good.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
     run = times.withColumn("upto", F.sum("c").over(Window.orderBy("t"))).withColumn("total", F.sum("c").over(Window.partitionBy()))  # a row for each time
@@ -67,11 +62,12 @@ def after_then(cases: DataFrame, seed: int = 5) -> DataFrame:
     groups = good.groupBy("group").agg(F.count(F.lit(1)).alias("c"), F.sum("hit").alias("f"), F.sum("base_hits").alias("bh"), F.sum("base_windows").alias("bn"))
     groups = groups.withColumn("i", F.row_number().over(Window.orderBy("group")) - 1).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy()))  # a row for each group
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "r", "i")), 1, 8), 16, 10).cast("long") % F.col("size")
+    enough = (F.col("cases") >= 15) & (F.col("rate") - F.col("base") >= 0.05)
+    groups = groups.crossJoin(F.broadcast(whole.filter(enough).select(F.lit(1).alias("wanted")))).repartition("i")  # one row or none: without a gap nothing is drawn
     draws = groups.select("i", "size", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))).alias("r")).select("r", draw.alias("i"))
     sums = draws.join(groups.select("i", "c", "f", "bh", "bn"), "i").groupBy("r").agg(*[F.sum(x).alias(x) for x in ("c", "f", "bh", "bn")])
     gaps = sums.select((F.col("f") / F.col("c") - F.col("bh") / F.col("bn")).alias("d"))
     low = gaps.agg(F.sort_array(F.collect_list("d")).alias("ds")).select(F.try_element_at("ds", (F.floor(0.05 * F.size("ds")) + 1).cast("int")).alias("low"))  # RESAMPLES numbers
-    enough = (F.col("cases") >= 15) & (F.col("rate") - F.col("base") >= 0.05)
     return whole.crossJoin(counts).crossJoin(low).withColumn("gap_ci_low", F.when(enough, F.col("low"))).drop("low")  # one row each
 
 
