@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import claims
+from tidemark.operators import boards, claims
 
 
 def most_rows(df) -> int:
@@ -53,3 +53,15 @@ def test_nothing_is_drawn_without_a_gap(spark):
     cases = claims.after_then_cases(e, F.col("kind") == "a", F.col("kind") == "none", 50)
     assert cases.filter("active and base_windows > 0").select("group").distinct().count() >= 8
     assert most_rows(claims.after_then(cases)) < claims.RESAMPLES * 8
+
+
+def test_makers_make_no_pairs(spark):
+    e = _one_place(spark).withColumnRenamed("channel", "artifact")
+    said, made = e.filter("kind = 'a'").select("id", "artifact", "t"), e.filter("kind = 'b'").select(F.col("id").alias("maker_id"), "artifact", "t")
+    out = boards.latest_makers(said, made, 400, 2)
+    assert most_rows(out) <= 5 * 600
+    want = set()
+    for s in said.collect():
+        near = sorted(((m.t, m.maker_id) for m in made.collect() if s.t - 400 <= m.t < s.t), reverse=True)[:2]
+        want |= {(s.id, m, k) for k, (_, m) in enumerate(near, 1)}
+    assert {tuple(r) for r in out.collect()} == want

@@ -133,12 +133,20 @@ def edge_lift(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def latest_makers(statements: DataFrame, makes: DataFrame, within: int = 3 * 86400, keep: int = 2) -> DataFrame:
     """For each statement (id, artifact, t): the latest `keep` earlier makes (maker_id, artifact, t) of its artifact within `within` seconds, with place."""
-    m = makes.select("artifact", "maker_id", F.col("t").alias("made_t"))
-    day = lambda c: F.floor(F.col(c) / within)
-    left = statements.withColumn("_b", F.explode(F.array(day("t"), day("t") - 1)))
-    joined = left.join(m.withColumn("_b", day("made_t")), ["artifact", "_b"]).filter((F.col("made_t") < F.col("t")) & (F.col("made_t") >= F.col("t") - within))
-    w = Window.partitionBy("id").orderBy(F.desc("made_t"), F.desc("maker_id"))
-    return joined.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).select("id", "maker_id", "place")
+    make = F.struct(F.col("t").alias("made_t"), "maker_id").alias("make")
+    made = makes.filter("artifact is not null and t is not null").select("artifact", F.lit(None).cast(statements.schema["id"].dataType).alias("id"), "t", make, F.floor(F.col("t") / within).alias("_b"))
+    said = statements.select("artifact", "id", "t", F.lit(None).cast(made.schema["make"].dataType).alias("make"), F.floor(F.col("t") / within).alias("_b"))
+    # what a statement asks for is in its bucket of time or among the last makes of the one before, which come along
+    place = Window.partitionBy("artifact", "_b")
+    last = made.withColumn("_r", F.row_number().over(place.orderBy(F.desc("t"), F.desc("make.maker_id")))).filter(F.col("_r") <= keep).drop("_r").withColumn("_b", F.col("_b") + 1)
+    recent = F.collect_list("make").over(place.orderBy("t", "make.maker_id").rowsBetween(1 - keep, 0)).alias("recent")
+    known = made.union(last).select("artifact", "id", "t", "make", "_b", recent)
+    both = known.union(said.withColumn("recent", F.lit(None).cast(known.schema["recent"].dataType)))
+    upto = place.orderBy("t", F.col("make").isNotNull(), "make.maker_id").rowsBetween(Window.unboundedPreceding, 0)  # a time's statements come before its makes
+    found = both.withColumn("recent", F.last("recent", ignorenulls=True).over(upto)).filter("make is null")
+    found = found.select("id", "t", F.explode("recent").alias("m")).filter(F.col("m.made_t") >= F.col("t") - within)
+    w = Window.partitionBy("id").orderBy(F.desc("m.made_t"), F.desc("m.maker_id"))
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).select("id", "m.maker_id", "place")
 
 
 def first_changes(events: DataFrame, keys: list[str], label: str, ahead: int = 10, share: float = 0.3, skip: int = 10) -> DataFrame:
