@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import boards, claims
+from tidemark.operators import boards, claims, overlap
 
 
 def most_rows(df) -> int:
@@ -65,3 +65,14 @@ def test_makers_make_no_pairs(spark):
         near = sorted(((m.t, m.maker_id) for m in made.collect() if s.t - 400 <= m.t < s.t), reverse=True)[:2]
         want |= {(s.id, m, k) for k, (_, m) in enumerate(near, 1)}
     assert {tuple(r) for r in out.collect()} == want
+
+
+def test_overlap_deals_no_pairs(spark):
+    sets = spark.range(3000).select((F.col("id") % 300).alias("owner"), F.when(F.col("id") % 11 > 0, F.concat(F.lit("c"), F.pmod(F.xxhash64("id"), F.lit(20)).cast("string"))).alias("item"))
+    held = {}
+    for r in sets.filter("item is not null").collect():
+        held.setdefault(r.owner, set()).add(r.item)
+    want = {(a, b): len(x & y) / len(x | y) for a, x in held.items() for b, y in held.items() if a < b and len(x & y) / len(x | y) >= 0.55}
+    out = overlap.jaccard_pairs(sets, 0.55, 70, 7)
+    assert {(r.one, r.two): r.jaccard for r in out.collect()} == want
+    assert most_rows(out) <= max(3000, len(want))

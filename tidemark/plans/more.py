@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, relations, sequences
+from ..operators import metrics, overlap, relations, sequences
 from ..session import table
 from ..sources import views
 from .measures import R6
@@ -65,12 +65,8 @@ def numeric_tolerance(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH EV , p AS (SELECT a.actor AS one, b.actor AS two, count(*) AS shared FROM (SELECT DISTINCT actor, channel FROM ev WHERE kind = 'purchase') a JOIN (SELECT DISTINCT actor, channel FROM ev WHERE kind = 'purchase') b ON a.channel = b.channel AND a.actor < b.actor GROUP BY 1, 2), s AS (SELECT actor, count(DISTINCT channel) AS c FROM ev WHERE kind = 'purchase' GROUP BY actor)
 SELECT one, two, round(shared / (x.c + y.c - shared), 6) AS jaccard FROM p JOIN s x ON x.actor = one JOIN s y ON y.actor = two WHERE shared / (x.c + y.c - shared) >= 0.2""")
 def actor_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    e = views.events(spark, sf).filter("kind = 'purchase'").select("actor", "channel").distinct()
-    sizes = e.groupBy("actor").agg(F.count(F.lit(1)).alias("c"))
-    both = e.withColumnRenamed("actor", "one").join(e.withColumnRenamed("actor", "two"), "channel").filter("one < two").groupBy("one", "two").agg(F.count(F.lit(1)).alias("both"))
-    x = both.join(sizes.select(F.col("actor").alias("one"), F.col("c").alias("c1")), "one").join(sizes.select(F.col("actor").alias("two"), F.col("c").alias("c2")), "two")
-    j = F.col("both") / (F.col("c1") + F.col("c2") - F.col("both"))
-    return R6(x.filter(j >= 0.2).select("one", "two", j.alias("jaccard")), "jaccard")
+    e = views.events(spark, sf).filter("kind = 'purchase'").select(F.col("actor").alias("owner"), F.col("channel").alias("item"))
+    return R6(overlap.jaccard_pairs(e, 0.2), "jaccard")
 
 
 @query(f"""WITH RECURSIVE EV , {REPLIES}, c AS (SELECT id, reply_to, id AS place, 0 AS hops FROM r UNION ALL SELECT c.id, r.reply_to, r.id, hops + 1 FROM c JOIN r ON r.id = c.reply_to WHERE hops < 4) SELECT id, arg_max(place, hops) AS root, CAST(max(hops) AS INTEGER) AS hops FROM c GROUP BY id""")
