@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import boards, claims, overlap
+from tidemark.operators import boards, claims, overlap, ranges, relations
 
 
 def most_rows(df) -> int:
@@ -76,3 +76,10 @@ def test_overlap_deals_no_pairs(spark):
     out = overlap.jaccard_pairs(sets, 0.55, 70, 7)
     assert {(r.one, r.two): r.jaccard for r in out.collect()} == want
     assert most_rows(out) <= max(3000, len(want))
+
+
+def test_shipped_counts_orders_once(spark):
+    orders = spark.createDataFrame([(1, 7), (2, 7), (2, 7), (3, 8), (4, None)], "o_orderkey long, o_custkey long")
+    lines = spark.createDataFrame([(1, 5, 30), (1, 5, 20), (2, 5, 40), (3, 5, 10), (4, 6, 1), (4, 6, 2), (4, 6, 3), (9, 5, 1)], "l_orderkey long, l_suppkey long, s long").withColumn("l_shipdate", F.timestamp_seconds("s"))
+    out = relations.shipped(orders, lines, 3)
+    assert {tuple(r) for r in out.collect()} == {(7, 5, 4, 2, 20), (None, 6, 3, 1, 1)}

@@ -77,3 +77,15 @@ def nodes(events: DataFrame, edges: DataFrame, answers: DataFrame, segment: Colu
     all_ = own.join(out, keys, "left").join(into, keys, "left").join(peers, keys, "left").na.fill(0, ["n_out", "n_in", "answered"])
     return all_.withColumn("answered_share", F.when(F.col("n_in") > 0, F.col("answered") / F.col("n_in")))
 
+
+def shipped(orders: DataFrame, lines: DataFrame, parts: int, least: int = 3) -> DataFrame:
+    """src (customer) -> dst (supplier): n lines, orders, first_t; at least `least` lines.
+
+    Lines are added up by order and supplier before they meet their order, so orders are counted without keeping them apart. `parts` should grow with the lines,
+    so that a task's share doesn't.
+    """
+    own = lines.repartition(parts, "l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("k"), F.min(F.unix_timestamp("l_shipdate")).alias("t"))
+    o = orders.repartition(parts, "o_orderkey").groupBy("o_orderkey", "o_custkey").agg(F.count(F.lit(1)).alias("m"))
+    joined = own.join(o.hint("merge"), own.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), "k", "m", "t")
+    out = joined.repartition(parts, "src", "dst").groupBy("src", "dst").agg(F.sum(F.col("k") * F.col("m")).alias("n"), F.count(F.lit(1)).alias("orders"), F.min("t").alias("first_t"))
+    return out.filter(F.col("n") >= least)

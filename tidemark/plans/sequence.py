@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, ranges, relations, sequences
-from ..session import table
+from ..session import shuffle_partitions, table
 from ..sources import views
 from .registry import query
 
@@ -109,8 +109,9 @@ def pair_reciprocity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_custkey AS src, l_suppkey AS dst, count(*) AS n, count(DISTINCT o_orderkey) AS orders, CAST(min(epoch(l_shipdate)) AS BIGINT) AS first_t FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(*) >= 3")
 def shipment_relations(spark: SparkSession, sf: str) -> DataFrame:
-    s = views.shipments(spark, sf)
-    return s.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("orders"), F.min("t").alias("first_t")).filter("n >= 3")
+    lines = table(spark, sf, "lineitem")
+    size = int(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return relations.shipped(table(spark, sf, "orders"), lines, max(shuffle_partitions(spark), -(-size // (16 << 20))))  # 16 MB of files to a task
 
 
 @query(f"""WITH EV , {REPLIES}, x AS (SELECT 0 AS rank, 'to_field' AS method, src, dst, t, event_id FROM ad WHERE event_id % 2 = 0 UNION ALL SELECT 1, 'reply_field', src, dst, t, event_id FROM ad WHERE event_id % 3 = 0 UNION ALL SELECT 2, 'mention', src, dst, t, event_id FROM ad)
