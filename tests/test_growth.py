@@ -83,3 +83,22 @@ def test_shipped_counts_orders_once(spark):
     lines = spark.createDataFrame([(1, 5, 30), (1, 5, 20), (2, 5, 40), (3, 5, 10), (4, 6, 1), (4, 6, 2), (4, 6, 3), (9, 5, 1)], "l_orderkey long, l_suppkey long, s long").withColumn("l_shipdate", F.timestamp_seconds("s"))
     out = relations.shipped(orders, lines, 3)
     assert {tuple(r) for r in out.collect()} == {(7, 5, 4, 2, 20), (None, 6, 3, 1, 1)}
+
+
+def test_pairs_of_labels_make_no_pairs_of_rows(spark):
+    e = _one_place(spark).withColumn("actor", F.lit(1))
+    out, rows = ranges.after_pairs(e, 1000), e.collect()
+    want = {(a, b): (sum(x.kind == a and any(y.kind == b and x.t < y.t <= x.t + 1000 for y in rows) for x in rows), 300) for a, b in ("ab", "ba")}
+    assert most_rows(out) <= 5 * 600
+    assert {(r.a, r.b): (r.followed, r.n_a) for r in out.collect()} == want
+
+
+def test_ids_that_come_again_count_once_for_a_window(spark):
+    e = spark.createDataFrame([(1, 1, "a", 10), (1, 1, "a", 12), (2, 1, "b", 20)], "id long, actor long, kind string, t long")
+    assert {(r.a, r.b, r.followed, r.n_a) for r in ranges.after_pairs(e, 100).collect()} == {("a", "b", 1, 2)}
+
+
+def test_reaction_in_a_place_makes_no_pairs(spark):
+    out = ranges.reaction(_one_place(spark), F.col("kind") == "a", F.col("kind") == "b", 1000, ["channel"], True)
+    assert most_rows(out) <= 5 * 600
+    assert out.first()["triggers"] == 300
